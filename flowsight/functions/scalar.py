@@ -14,7 +14,7 @@ from flowsight.functions.names import as_column
 from flowsight.schema import BENIGN, CONFIDENCE_THRESHOLD, ICMP, TCP, TCP_FLAG_BITS, UDP, UNKNOWN
 
 # Four decimal octets, one trailing dot tolerated.
-_IPV4 = r"^([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)\.?$"
+_IPV4 = "^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+[.]?$"
 # Address-resolution request and reply texts.
 _ARP_REQUEST = r"(?i)Who has ([0-9.]+)\?\s*Tell ([0-9.]+)"
 _ARP_REPLY = r"(?i)^([0-9.]+) is at"
@@ -23,12 +23,30 @@ _ARP_REPLY = r"(?i)^([0-9.]+) is at"
 # -- addresses ---------------------------------------------------------------
 
 
+def ip_value_sql(c: str) -> str:
+    """SQL text: dotted address -> number, 0.0.0.0 kept as 0, null when malformed."""
+    octets = [f"try_cast(split_part({c}, '.', {i}) as bigint)" for i in range(1, 5)]
+    valid = " and ".join([f"{c} rlike '{_IPV4}'", *[f"{o} <= 255" for o in octets]])
+    value = " + ".join(f"{o} * {256 ** (3 - i)}" for i, o in enumerate(octets))
+    return f"case when {valid} then {value} end"
+
+
+def ip_value_compact(c: str) -> str:
+    """The same with only two uses of ``c``, for an address that is itself a long expression."""
+    step = "case when try_cast(o as bigint) <= 255 then a * 256 + try_cast(o as bigint) end"
+    shaped = f"case when {c} rlike '{_IPV4}' then rtrim('.', {c}) end"
+    return f"aggregate(split({shaped}, '[.]'), 0L, (a, o) -> {step})"
+
+
+def ip_sql(c: str) -> str:
+    """SQL text of ``ip_to_long``."""
+    return f"nullif({ip_value_sql(c)}, 0L)"
+
+
 def _ip_value(c: Column) -> Column:
-    """Dotted text -> number with 0.0.0.0 kept as 0; null when malformed."""
-    octets = [F.regexp_extract(c, _IPV4, i).try_cast("long") for i in range(1, 5)]
-    valid = reduce(lambda a, b: a & b, [(o >= 0) & (o <= 255) for o in octets])
-    value = reduce(lambda acc, o: acc * 256 + o, octets)
-    return F.when(valid, value)
+    octets = [F.split_part(c, F.lit("."), F.lit(i)).try_cast("long") for i in range(1, 5)]
+    valid = reduce(lambda a, b: a & b, [o <= 255 for o in octets], c.rlike(_IPV4))
+    return F.when(valid, reduce(lambda acc, o: acc * 256 + o, octets))
 
 
 def ip_to_long(c: str | Column) -> Column:
@@ -210,7 +228,7 @@ def max_rule_severity(rule_matches: str | Column = "rule_matches") -> Column:
 
 
 def is_flagged(
-    verdict: str | Column = "verdict",
+    verdict: str | Column = "classification",
     ti_matches: str | Column = "ti_matches",
     rule_matches: str | Column = "rule_matches",
 ) -> Column:

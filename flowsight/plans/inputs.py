@@ -65,3 +65,118 @@ def packets_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(proto != 6, 0).otherwise(flags).cast("int").alias("tcp_flags"),
         F.when((proto != 6) | (k % 10 == 0), 0).otherwise(1024 + k).cast("int").alias("tcp_window"),
     )
+
+
+# The derivations below are plain expressions that read the same in any SQL engine.
+
+FLOWS_FROM_ORDERS = [
+    "o_orderkey as flow_id",
+    "concat('10.0.', cast(o_custkey % 4 as varchar(20)), '.', cast(o_custkey % 50 as varchar(20))) as src_ip",
+    "concat('10.2.0.', cast(o_orderkey % 200 as varchar(20))) as dst_ip",
+    "cast(case when o_orderkey % 401 = 0 then 31337 else 30000 + o_orderkey % 2000 end as int) as src_port",
+    "cast(case o_orderkey % 8 when 0 then 80 when 1 then 22 when 2 then 4444 when 3 then 443"
+    " when 4 then 3389 when 5 then 53 when 6 then 6667 else 1024 + o_orderkey % 977 end as int) as dst_port",
+    "cast(case o_custkey % 4 when 0 then 1 when 1 then 17 else 6 end as int) as protocol",
+    "o_orderkey % 601 as fwd_packets",
+    "o_custkey % 50 as bwd_packets",
+    "(o_orderkey % 997) * (case when o_orderkey % 5 = 0 then 20 else 20000 end) as duration_us",
+    "o_orderkey % 307 as syn_count",
+    "o_custkey % 41 as ack_count",
+    "o_orderkey % 293 as rst_count",
+    "o_orderkey % 3 as fin_count",
+    "cast(40 + o_orderkey % 1400 as double) as avg_packet_size",
+]
+
+PREDICTIONS_FROM_FLOWS = [
+    "flow_id",
+    "case when flow_id % 97 = 0 then 16 when dst_port <= 1024 then 11 else 0 end as classification",
+    "(flow_id % 100) / cast(100 as double) as confidence",
+]
+
+# One feed line per supplier, in every shape a feed file may hold.
+FEED_LINES_FROM_SUPPLIER = [
+    "concat('feed_', cast(s_nationkey % 5 as varchar(20))) as feed_name",
+    "case s_suppkey % 9"
+    " when 0 then concat('10.0.', cast(s_suppkey % 4 as varchar(20)), '.', cast(s_suppkey * 7 % 250 as varchar(20)))"
+    " when 1 then concat('10.2.0.', cast(s_suppkey * 3 % 256 as varchar(20)), ';8080')"
+    " when 2 then concat('# note ', cast(s_suppkey as varchar(20)))"
+    " when 3 then concat('10.2.0.', cast(s_suppkey * 13 % 256 as varchar(20)), '/', cast(26 + s_suppkey % 9 as varchar(20)))"
+    " when 4 then concat('  10.0.', cast(s_suppkey % 4 as varchar(20)), '.', cast(s_suppkey * 11 % 250 as varchar(20)), ',seen twice ')"
+    " when 5 then concat('300.1.2.', cast(s_suppkey % 256 as varchar(20)))"
+    " when 6 then concat('10.0.0.0/', cast(s_suppkey % 2 * 40 as varchar(20)))"
+    " when 7 then concat('010.002.000.', cast(s_suppkey * 17 % 256 as varchar(20)), '. listed')"
+    " else concat('10.0.', cast(s_suppkey % 4 as varchar(20)), '.', cast(s_suppkey * 5 % 250 as varchar(20)), '/2', cast(s_suppkey % 10 as varchar(20)), ' net') end as line",
+]
+
+CSV_ROWS_FROM_EVENTS = [
+    "event_id as pkt_id",
+    "concat('/set/', case when user_id % 4 = 0 then 'Benign/a.csv'"
+    " when user_id % 4 = 1 then 'Malicious/SYN Flood/b.csv'"
+    " when user_id % 4 = 2 then 'Malicious/Odd Folder/c.csv' else 'Malicious/d.csv' end) as path",
+    "case when event_id % 31 = 0 then '' when event_id % 37 = 0 then 'nan'"
+    " else concat(cast(1704067200 + event_id as varchar(20)), '.25') end as `Frame Time (Epoch)`",
+    "case event_id % 7 when 0 then 'TCP' when 1 then 'udp' when 2 then ' ICMP ' when 3 then ''"
+    " when 4 then 'nan' when 5 then 'IGMP' else 'TCP' end as `IP Protocol`",
+    "case when event_id % 7 in (3, 4) then 'ARP' else 'x' end as `Protocol`",
+    "case event_id % 3 when 0 then concat('Who has 10.9.0.', cast(user_id % 250 as varchar(20)), '? Tell 10.9.1.', cast(user_id % 99 as varchar(20)))"
+    " when 1 then concat('10.9.2.', cast(user_id % 250 as varchar(20)), ' is at aa:bb:cc:dd:ee:ff') else 'other' end as `Info`",
+    "case when event_id % 5 = 0 then '' else '60' end as `frame length`",
+    "'42.0' as `Length`",
+    "case when event_id % 41 = 0 then '' else concat('10.8.0.', cast(user_id % 250 as varchar(20))) end as `IP Source`",
+    "concat('10.8.1.', cast(event_id % 250 as varchar(20))) as `IP Destination`",
+    "case when event_id % 43 = 0 then '-1' else concat(cast(40 + event_id % 1400 as varchar(20)), '.0') end as `IP Length`",
+    "cast(1000 + user_id as varchar(20)) as `TCP Source Port`",
+    "'443.0' as `TCP Destination Port`",
+    "case event_id % 4 when 0 then '0x018' when 1 then '16' when 2 then '0X002' else 'zz' end as `TCP Flags`",
+    "case when event_id % 6 = 0 then 'bad' else cast(500 + event_id % 100 as varchar(20)) end as `TCP Window Size`",
+    "'5353' as `UDP Source Port`",
+    "cast(event_id % 1000 as varchar(20)) as `UDP Destination Port`",
+    "'8' as `ICMP Type`",
+]
+
+SCORED_FROM_EMBEDDINGS = [
+    "vec_id",
+    "label as y_true",
+    "case when vec_id % 7 = 0 then (label + 1) % 10 when vec_id % 11 = 0 then 0 else label end as y_pred",
+]
+
+
+def flows_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr(*FLOWS_FROM_ORDERS)
+
+
+def predictions_from_flows(flows: DataFrame) -> DataFrame:
+    p = flows.selectExpr(*PREDICTIONS_FROM_FLOWS)
+    return p.selectExpr(
+        "*",
+        "transform(sequence(0, 15), i -> case when i = classification then confidence else 0.0D end)"
+        " as probabilities",
+    )
+
+
+def feed_lines_from_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").selectExpr(*FEED_LINES_FROM_SUPPLIER)
+
+
+def csv_rows_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr(*CSV_ROWS_FROM_EVENTS)
+
+
+def scored_from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """y_true, y_pred and 16 probabilities: the predicted class leads by an amount set by the row id."""
+    s = table(spark, sf_dir, "embeddings").selectExpr(*SCORED_FROM_EMBEDDINGS)
+    other = "((vec_id * 31 + i * 17) % 40) / 100.0D"
+    own = "(40 + vec_id % 60) / 100.0D"
+    return s.selectExpr(
+        "*",
+        f"transform(sequence(0, 15), i -> case when i = y_pred then {own} else {other} end) as probabilities",
+    )
+
+
+def feature_rows_from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64 numeric columns f0..f63 with a class label: a feature matrix."""
+    cols = [f"cast(embedding[{i}] as double) as f{i}" for i in range(64)]
+    return table(spark, sf_dir, "embeddings").selectExpr("vec_id", "label", *cols)
+
+
+VECTOR_COLUMNS = [f"f{i}" for i in range(64)]

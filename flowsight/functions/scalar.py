@@ -251,3 +251,8 @@ def risk_band(score: str | Column, flagged: str | Column) -> Column:
         .when(score < MEDIUM_RISK, "medium")
         .otherwise("high")
     )
+
+
+def shown(c: str | Column) -> Column:
+    """Single-precision value as a double: what a display format rounds, free of decimal ties."""
+    return as_column(c).cast("float").cast("double")

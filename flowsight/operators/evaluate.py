@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowsight.operators.prepare import feature_name, unpivot
 from flowsight.operators.ranking import running_totals
 from flowsight.schema import CLIP_VALUE, FEATURE_COLUMNS, N_CLASSES, NEAR_ZERO_STD
 
@@ -257,44 +258,39 @@ def quality_audit(
     by: str = "split",
 ) -> DataFrame:
     """Per split: NaN cells, infinite cells, cells beyond +-clip, zero-variance columns. One pass."""
-
-    def cells(test: str) -> str:
-        each = " + ".join(f"cast({test.format(c=c)} as int)" for c in columns)
-        return f"sum(cast({each} as bigint))"
-
-    aggs = [
-        F.expr(cells("isnan({c})")).alias("nan_cells"),
-        F.expr(cells("(abs({c}) = double('Infinity'))")).alias("inf_cells"),
-        F.expr(cells(f"(abs({{c}}) > {float(clip)!r}D and not isnan({{c}}))")).alias("beyond_cells"),
-        *[F.stddev_pop(c).alias(f"_s{i}") for i, c in enumerate(columns)],
-    ]
-    flat = " + ".join(
-        f"cast(coalesce(_s{i} < {NEAR_ZERO_STD}D, false) as int)" for i in range(len(columns))
+    per = unpivot(data, columns, by).groupBy(by, "pos").agg(
+        F.count_if(F.isnan("x")).alias("nan_cells"),
+        F.count_if(F.expr("abs(x) = double('Infinity')")).alias("inf_cells"),
+        F.count_if(F.expr(f"abs(x) > {float(clip)!r}D and not isnan(x)")).alias("beyond_cells"),
+        F.stddev_pop("x").alias("std"),
     )
-    return data.groupBy(by).agg(*aggs).selectExpr(
-        by, "nan_cells", "inf_cells", "beyond_cells", f"{flat} as flat_columns"
+    # splits * features rows
+    return per.groupBy(by).agg(
+        *[F.sum(c).alias(c) for c in ("nan_cells", "inf_cells", "beyond_cells")],
+        F.expr(f"cast(count_if(std < {NEAR_ZERO_STD}D) as int) as flat_columns"),
     )
 
 
 def feature_statistics(data: DataFrame, columns: Sequence[str] = FEATURE_COLUMNS) -> DataFrame:
     """(pos, feature, mean, std, min, max, skew, kurtosis); population moments, excess kurtosis."""
-    aggs, rows = [], []
-    for i, c in enumerate(columns):
-        aggs += [
-            f"avg({c}) as m{i}",
-            f"stddev_pop({c}) as s{i}",
-            f"min({c}) as lo{i}",
-            f"max({c}) as hi{i}",
-            f"skewness({c}) as sk{i}",
-            f"kurtosis({c}) as ku{i}",
-        ]
-        rows.append(
-            f"named_struct('pos', {i}, 'feature', '{c}', 'mean', m{i}, 'std', s{i},"
-            f" 'min', cast(lo{i} as double), 'max', cast(hi{i} as double),"
-            f" 'skew', case when s{i} > 0 then sk{i} else 0.0D end,"
-            f" 'kurtosis', case when s{i} > 0 then ku{i} else -3.0D end)"
-        )
-    return data.agg(*map(F.expr, aggs)).selectExpr(f"inline(array({', '.join(rows)}))")
+    moments = unpivot(data, columns).groupBy("pos").agg(
+        F.avg("x").alias("mean"),
+        F.stddev_pop("x").alias("std"),
+        F.min("x").alias("min"),
+        F.max("x").alias("max"),
+        F.skewness("x").alias("skew"),
+        F.kurtosis("x").alias("kurtosis"),
+    )
+    return moments.selectExpr(
+        "pos",
+        f"{feature_name(columns)} as feature",
+        "mean",
+        "std",
+        "min",
+        "max",
+        "case when std > 0 then skew else 0.0D end as skew",
+        "case when std > 0 then kurtosis else -3.0D end as kurtosis",
+    )
 
 
 def top_features(stats: DataFrame, k: int = 10, largest: bool = True) -> DataFrame:

@@ -103,7 +103,7 @@ def with_label(rows: DataFrame, root: str, path: str = "path") -> DataFrame:
     The per-file summary is combined map-side (min and max suffice to tell a single value) and has one
     row per file; the result is joined back by path only when a label column has to be consulted.
     """
-    base = root.rstrip("/")
+    base, columns = root.rstrip("/"), [f"`{c}`" for c in rows.columns]
     relative = f"regexp_replace({path}, concat('^.*?', {_literal(_quote(base))}, '/'), '')"
     out = rows.selectExpr("*", f"{label_from_path(relative)} as _folder_label")
     if "label" in rows.columns:
@@ -116,7 +116,7 @@ def with_label(rows: DataFrame, root: str, path: str = "path") -> DataFrame:
         raw = "coalesce(_folder_label, _file_label, 'Benign')"
     else:
         raw = "coalesce(_folder_label, 'Benign')"
-    return out.selectExpr(*rows.columns, f"{resolve_label(raw)} as label_code")
+    return out.selectExpr(*columns, f"{resolve_label(raw)} as label_code")
 
 
 def _quote(text: str) -> str:
@@ -151,16 +151,28 @@ def clean(df: DataFrame, columns: Sequence[str] = FEATURE_COLUMNS) -> DataFrame:
 def fit_normaliser(df: DataFrame, columns: Sequence[str] = FEATURE_COLUMNS) -> DataFrame:
     """(pos, feature, mean, std): population std of the given (training) rows, near zero -> 1.
 
-    One aggregation over all columns at once; partial sums combine map-side.
+    Values are laid out as (pos, x) and combined map-side, so one row per feature is shuffled and the
+    generated code stays small however many features there are.
     """
-    aggs = [f"avg({c}) as m{i}" for i, c in enumerate(columns)]
-    aggs += [f"stddev_pop({c}) as s{i}" for i, c in enumerate(columns)]
-    rows = ", ".join(
-        f"named_struct('pos', {i}, 'feature', {_literal(c)}, 'mean', m{i}, 'std',"
-        f" case when s{i} < {NEAR_ZERO_STD}D then 1.0D else s{i} end)"
-        for i, c in enumerate(columns)
+    moments = unpivot(df, columns).groupBy("pos").agg(
+        F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")
     )
-    return df.agg(*map(F.expr, aggs)).selectExpr(f"inline(array({rows}))")
+    return moments.selectExpr(
+        "pos",
+        f"{feature_name(columns)} as feature",
+        "mean",
+        f"case when std < {NEAR_ZERO_STD}D then 1.0D else std end as std",
+    )
+
+
+def unpivot(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
+    """One row per cell: (keep..., pos, x)."""
+    cells = ", ".join(f"cast({c} as double)" for c in columns)
+    return df.selectExpr(*keep, f"posexplode(array({cells})) as (pos, x)")
+
+
+def feature_name(columns: Sequence[str]) -> str:
+    return f"element_at(array({', '.join(map(_literal, columns))}), pos + 1)"
 
 
 def clipped_cells(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsight.functions.names import attack_name, protocol_name, source_name, with_application
-from flowsight.functions.scalar import risk_band
+from flowsight.functions.scalar import risk_band, shown
 from flowsight.operators.ranking import number_rows
 from flowsight.schema import ATTACK_NAMES, N_CLASSES
 
@@ -22,8 +22,8 @@ def flow_report(detections: DataFrame) -> DataFrame:
         "dst_port",
         protocol_name("protocol").alias("protocol"),
         attack_name("verdict").alias("verdict"),
-        F.format_string("%.1f%%", F.col("confidence") * 100).alias("ml_confidence"),
-        F.format_string("%.3f", "combined_score").alias("combined_score"),
+        F.format_string("%.1f%%", shown("confidence") * 100).alias("ml_confidence"),
+        F.format_string("%.3f", shown("combined_score")).alias("combined_score"),
         source_name("source").alias("detection_source"),
         risk_band("combined_score", "is_flagged").alias("risk"),
     )
@@ -53,7 +53,7 @@ def explode_probabilities(detections: DataFrame) -> DataFrame:
         "class",
         attack_name("class").alias("name"),
         "probability",
-        F.format_string("%.2f%%", F.col("probability") * 100).alias("percentage"),
+        F.format_string("%.2f%%", shown("probability") * 100).alias("percentage"),
     )
 
 
@@ -70,7 +70,7 @@ def explode_rules(detections: DataFrame) -> DataFrame:
     return detections.selectExpr("flow_id", "inline(rule_matches)").select(
         "flow_id",
         "rule_name",
-        F.format_string("%.2f", "severity").alias("severity"),
+        F.format_string("%.2f", shown("severity")).alias("severity"),
         "description",
     )
 

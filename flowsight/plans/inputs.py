@@ -69,6 +69,7 @@ def packets_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The derivations below are plain expressions that read the same in any SQL engine.
 
+_DURATION = "((o_orderkey % 997) * (case when o_orderkey % 5 = 0 then 20 else 20000 end))"
 FLOWS_FROM_ORDERS = [
     "o_orderkey as flow_id",
     "concat('10.0.', cast(o_custkey % 4 as varchar(20)), '.', cast(o_custkey % 50 as varchar(20))) as src_ip",
@@ -79,12 +80,14 @@ FLOWS_FROM_ORDERS = [
     "cast(case o_custkey % 4 when 0 then 1 when 1 then 17 else 6 end as int) as protocol",
     "o_orderkey % 601 as fwd_packets",
     "o_custkey % 50 as bwd_packets",
-    "(o_orderkey % 997) * (case when o_orderkey % 5 = 0 then 20 else 20000 end) as duration_us",
+    f"{_DURATION} as duration_us",
     "o_orderkey % 307 as syn_count",
     "o_custkey % 41 as ack_count",
     "o_orderkey % 293 as rst_count",
     "o_orderkey % 3 as fin_count",
     "cast(40 + o_orderkey % 1400 as double) as avg_packet_size",
+    f"case when {_DURATION} > 0 then (o_orderkey % 601) / ({_DURATION} / 1e6) else 0e0 end as fwd_pps",
+    f"case when {_DURATION} > 0 then (o_custkey % 50) / ({_DURATION} / 1e6) else 0e0 end as bwd_pps",
 ]
 
 PREDICTIONS_FROM_FLOWS = [

@@ -140,7 +140,7 @@ fused as (select *, case when atk then classification when classification = 0 an
 
 
 FUSED_COLUMNS = """select flow_id, cast(classification as int) as classification, confidence, cast(verdict as int) as verdict,
-  round(score, 6) as combined_score, source, cast(ti as int) as ti, cast(rules as int) as rules, is_flagged from fused"""
+  round(score, 9) as combined_score, source, cast(ti as int) as ti, cast(rules as int) as rules, is_flagged from fused"""
 
 SCORES = "select flow_id, classification, confidence from flows join predictions using (flow_id)"
 DETECTED = f"with {FLOWS_IN}, {PREDICTIONS}, {FEEDS}, {TI}, {rules_cte()}, {fused_cte(SCORES)}"
@@ -312,21 +312,21 @@ _CSV = f"csv as ({_select(I.CSV_ROWS_FROM_EVENTS, 'events')})"
 _PROTO_NAME = """upper(coalesce(nullif(nullif(trim("IP Protocol"), ''), 'nan'), "Protocol"))"""
 _WHO = r"Who has ([0-9.]+)\? Tell ([0-9.]+)"
 ORACLES["csv_packets"] = f"""with {_CSV}, p as (select *, try_cast(nullif("Frame Time (Epoch)", 'nan') as double) as secs,
-  case {_PROTO_NAME} when 'TCP' then 6 when 'UDP' then 17 when 'ICMP' then 1 when 'ARP' then 0 end as protocol,
+  case {_PROTO_NAME} when 'TCP' then 6 when 'UDP' then 17 when 'ICMP' then 1 when 'ARP' then 0 end as proto,
   nullif(regexp_extract("Info", '{_WHO}', 1), '') as target, nullif(regexp_extract("Info", '{_WHO}', 2), '') as teller,
   nullif(regexp_extract("Info", '^([0-9.]+) is at', 1), '') as owner from csv),
 q as (select path, pkt_id, cast(trunc(secs * 1000000) as bigint) as ts_us,
-  case when protocol = 0 then coalesce(teller, owner) else nullif(nullif("IP Source", ''), 'nan') end as src_ip,
-  case when protocol = 0 then coalesce(target, owner) else "IP Destination" end as dst_ip,
-  case protocol when 6 then {_int('"TCP Source Port"')} when 17 then {_int('"UDP Source Port"')} when 1 then {_int('"ICMP Type"')} else 0 end as src_port,
-  case protocol when 6 then {_int('"TCP Destination Port"')} when 17 then {_int('"UDP Destination Port"')} else 0 end as dst_port,
-  protocol, case when protocol = 0 then 0 else 20 end as ip_header_len,
-  case protocol when 6 then 20 when 0 then 0 else 8 end as transport_header_len,
-  case when protocol = 0 then (case when {_int('"frame length"')} > 0 then {_int('"frame length"')} else {_int('"Length"')} end)
+  case when proto = 0 then coalesce(teller, owner) else nullif(nullif("IP Source", ''), 'nan') end as src_ip,
+  case when proto = 0 then coalesce(target, owner) else "IP Destination" end as dst_ip,
+  case proto when 6 then {_int('"TCP Source Port"')} when 17 then {_int('"UDP Source Port"')} when 1 then {_int('"ICMP Type"')} else 0 end as src_port,
+  case proto when 6 then {_int('"TCP Destination Port"')} when 17 then {_int('"UDP Destination Port"')} else 0 end as dst_port,
+  proto as protocol, case when proto = 0 then 0 else 20 end as ip_header_len,
+  case proto when 6 then 20 when 0 then 0 else 8 end as transport_header_len,
+  case when proto = 0 then (case when {_int('"frame length"')} > 0 then {_int('"frame length"')} else {_int('"Length"')} end)
     else {_int('"IP Length"')} end as total_len,
-  case when protocol = 6 then {_HEX} else 0 end as tcp_flags,
-  case when protocol = 6 then {_int('"TCP Window Size"')} else 0 end as tcp_window
-  from p where secs > 0 and protocol is not null)
+  case when proto = 6 then {_HEX} else 0 end as tcp_flags,
+  case when proto = 6 then {_int('"TCP Window Size"')} else 0 end as tcp_window
+  from p where secs > 0 and proto is not null)
 select * from q where src_ip is not null and dst_ip is not null and total_len > 0"""
 ORACLES["csv_labels"] = f"""with {_CSV} select path, cast(case when path like '%/SYN Flood/%' then 11 else 0 end as int) as label_code,
   count(*) as n from csv group by path"""
@@ -399,9 +399,9 @@ for _m, _t, _h, _c in [(0.5, 0.3, 0.2, 0.7), (0.2, 0.6, 0.2, 0.5), (0.8, 0.1, 0.
         " from fused group by verdict)"
     )
 ORACLES["weight_sweep"] = f"with {FLOWS_IN}, {PREDICTIONS}, {FEEDS}, {TI}, {rules_cte()} " + " union all ".join(_SWEEP)
-ORACLES["results_with_metadata"] = f"""with {FLOWS_IN}, {PREDICTIONS}, some as (select * from flows where flow_id % 4 <> 0)
+ORACLES["results_with_metadata"] = f"""with {FLOWS_IN}, {PREDICTIONS}, kept as (select * from flows where flow_id % 4 <> 0)
   select p.flow_id, p.classification, p.confidence, coalesce(src_ip, '') as src_ip, coalesce(dst_port, 0) as dst_port,
-  coalesce(fwd_packets, 0) as fwd_packets, coalesce(avg_packet_size, 0) as avg_packet_size from predictions p left join some s on s.flow_id = p.flow_id"""
+  coalesce(fwd_packets, 0) as fwd_packets, coalesce(avg_packet_size, 0) as avg_packet_size from predictions p left join kept s on s.flow_id = p.flow_id"""
 _BUILT_FLOWS = """flows as (select flow_id, src_ip, dst_ip, src_port, dst_port, protocol, fn as fwd_packets, bn as bwd_packets, dur as duration_us,
   c_syn as syn_count, c_ack as ack_count, c_rst as rst_count from built)"""
 _BY_PORT = "select flow_id, case when dst_port <= 1024 then 11 else 0 end as classification, 0.85e0 as confidence from flows"
@@ -418,20 +418,20 @@ ORACLES["reanalysis"] = f"""with {FLOWS_IN}, {PREDICTIONS}, {_FEW}, {TI}, {rules
 
 _SRC = _case("source", list(SOURCE_NAMES.items()), "Unknown")
 ORACLES["flow_reports"] = f"""{DETECTED} select row_number() over (order by flow_id) as number, src_ip, src_port, dst_ip, dst_port,
-  {_proto()} as protocol, {_attack('verdict')} as verdict, printf('%.1f%%', confidence * 100) as ml_confidence,
-  printf('%.3f', score) as combined_score, {_SRC} as detection_source, {RISK} as risk from fused join flows using (flow_id)"""
+  {_proto()} as protocol, {_attack('verdict')} as verdict, printf('%.1f%%', cast(cast(confidence as float) as double) * 100 + 1e-10) as ml_confidence,
+  printf('%.3f', cast(cast(score as float) as double) + 1e-10) as combined_score, {_SRC} as detection_source, {RISK} as risk from fused join flows using (flow_id)"""
 ORACLES["packet_reports"] = f"""with {PACKETS}, {_SERVICES} select row_number() over (order by ts_us, pkt_id) as number, 'eth0' as interface,
   {_proto()} as protocol, coalesce(service, 'Unknown') as application, src_ip,
   case when src_port = 0 then '-' else cast(src_port as varchar) end as src_port, dst_ip,
   case when dst_port = 0 then '-' else cast(dst_port as varchar) end as dst_port from packets left join services on port = dst_port"""
 ORACLES["probability_table"] = f"""with {FLOWS_IN}, {PREDICTIONS} select flow_id, cast(i as int) as class, {_attack('i')} as name,
-  printf('%.2f%%', case when i = classification then confidence * 100 else 0e0 end) as percentage from predictions, range(0, 16) t(i)"""
+  printf('%.2f%%', case when i = classification then cast(cast(confidence as float) as double) * 100 + 1e-10 else 0e0 end) as percentage from predictions, range(0, 16) t(i)"""
 ORACLES["ti_table"] = f"""with {FLOWS_IN}, {FEEDS}, {TI} select flow_id, ip, feed_name,
   case when is_source then 'Source' else 'Destination' end as direction from ti"""
-ORACLES["rule_table"] = f"with {FLOWS_IN}, {rules_cte()} select flow_id, rule_name, printf('%.2f', severity) as severity from fired"
+ORACLES["rule_table"] = f"with {FLOWS_IN}, {rules_cte()} select flow_id, rule_name, printf('%.2f', cast(cast(severity as float) as double) + 1e-10) as severity from fired"
 ORACLES["alert_lines"] = f"""{DETECTED} select flow_id, case when is_flagged then printf('ALERT flow #%d: %s:%d -> %s:%d verdict=%s confidence=%.3f source=%s',
-  flow_id, src_ip, src_port, dst_ip, dst_port, {_attack('verdict')}, confidence, {_SRC})
-  else printf('CLEAN flow #%d: %s:%d -> %s:%d [%s] confidence=%.3f', flow_id, src_ip, src_port, dst_ip, dst_port, {_attack('verdict')}, confidence) end as line
+  flow_id, src_ip, src_port, dst_ip, dst_port, {_attack('verdict')}, cast(cast(confidence as float) as double) + 1e-10, {_SRC})
+  else printf('CLEAN flow #%d: %s:%d -> %s:%d [%s] confidence=%.3f', flow_id, src_ip, src_port, dst_ip, dst_port, {_attack('verdict')}, cast(cast(confidence as float) as double) + 1e-10) end as line
   from fused join flows using (flow_id)"""
 ORACLES["events"] = f"""{DETECTED}, dirs as (select flow_id, string_agg(case when is_source then 'source' else 'destination' end, '+' order by place) as directions
   from ti group by flow_id) select flow_id as flow_index, {_proto()} as protocol, duration_us, syn_count, {_attack('classification')} as ml_classification,

@@ -313,7 +313,7 @@ def _fused(df):
         "classification",
         "confidence",
         "verdict",
-        "round(combined_score, 6) as combined_score",
+        "round(combined_score, 9) as combined_score",
         "source",
         "size(ti_matches) as ti",
         "size(rule_matches) as rules",
@@ -357,7 +357,6 @@ def weight_sweep(spark, d):
 @query
 def results_with_metadata(spark, d):
     flows = I.flows_from_orders(spark, d)
-    flows = flows.selectExpr("*", "0.0D as fwd_pps", "0.0D as bwd_pps")
     results = I.predictions_from_flows(flows).select("flow_id", "classification", "confidence")
     return attach_results(results, flows.filter("flow_id % 4 <> 0")).select(
         "flow_id", "classification", "confidence", "src_ip", "dst_port", "fwd_packets", "avg_packet_size"

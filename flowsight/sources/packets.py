@@ -74,9 +74,7 @@ def parse_packet_rows(rows: DataFrame, *extra: str) -> DataFrame:
         F.monotonically_increasing_id().alias("pkt_id")
     ]
     extra = [*extra, *[c for c in ("path",) if c in rows.columns and c not in extra]]
-    base = rows.select(
-        *extra,
-        *order,
+    parsed = F.struct(
         safe_float(t("Frame Time (Epoch)")).alias("seconds"),
         protocol.cast("int").alias("protocol"),
         parse_arp_info(t("Info")).alias("arp"),
@@ -98,6 +96,10 @@ def parse_packet_rows(rows: DataFrame, *extra: str) -> DataFrame:
         ],
         parse_hex_flags(t("TCP Flags")).alias("flags"),
     )
+    # explode keeps the optimiser from repeating the parsing inside every later filter
+    base = rows.select(*extra, *order, F.explode(F.array(parsed)).alias("r")).select(
+        *extra, "pkt_id", "r.*"
+    )
     arp_len = "case when frame_len > 0 then frame_len else shown_len end"
     packets = base.filter("seconds > 0 and protocol is not null").selectExpr(
         *extra,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsight.functions.names import attack_name, protocol_name, source_name
-from flowsight.functions.scalar import binary_verdict
+from flowsight.functions.scalar import binary_verdict, shown
 from flowsight.schema import CLIP_VALUE, FLOW_INFO_COLUMNS
 
 # -- events ------------------------------------------------------------------
@@ -71,12 +71,12 @@ def alert_line():
             "ALERT flow #%d: %s:%d -> %s:%d verdict=%s confidence=%.3f source=%s",
             *ends,
             verdict,
-            "confidence",
+            shown("confidence"),
             source,
         ),
     ).otherwise(
         F.format_string(
-            "CLEAN flow #%d: %s:%d -> %s:%d [%s] confidence=%.3f", *ends, verdict, "confidence"
+            "CLEAN flow #%d: %s:%d -> %s:%d [%s] confidence=%.3f", *ends, verdict, shown("confidence")
         )
     )
 
@@ -169,7 +169,7 @@ def cef_line(vendor: str = "flowsight", product: str = "flowsight", version: str
         ("spt", F.col("src_port").cast("string")),
         ("dpt", F.col("dst_port").cast("string")),
         ("proto", F.col("protocol").cast("string")),
-        ("cs1", F.format_string("%.2f", "confidence")),
+        ("cs1", F.format_string("%.2f", shown("confidence"))),
         ("cs1Label", F.lit("mlConfidence")),
         ("cs2", F.col("source")),
         ("cs2Label", F.lit("detectionSource")),

@@ -32,7 +32,9 @@ from flowsight.schema import (
 )
 
 KEY = ["lo_ip", "lo_port", "hi_ip", "hi_port", "protocol"]
-USABLE = "src_ip is not null and dst_ip is not null and ts_us is not null and protocol is not null"
+USABLE = (
+    "src_ip is not null and dst_ip is not null and ts_us is not null and protocol is not null"
+)
 
 # close-reason codes; integers keep the flow aggregation in a hash aggregate
 REASONS = ["fin_rst", "max_pkts", "timeout", "duration", "finalize"]
@@ -62,7 +64,7 @@ def with_flow_key(packets: DataFrame) -> DataFrame:
     return packets.selectExpr("*", *[e for e in _flow_key() if e != "protocol"])
 
 
-def _keyed(packets: DataFrame, scope: Sequence[str]) -> DataFrame:
+def keyed_packets(packets: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Only what assembly reads, so that the shuffle carries nothing else."""
     ends = TCP_FLAG_BITS["fin"] | TCP_FLAG_BITS["rst"]
     return packets.filter(USABLE).selectExpr(
@@ -273,7 +275,7 @@ def label_packets(
     ``clustering`` names the columns by which the frame's flows are whole within a partition group.
     """
     keys = [*scope, *KEY]
-    keyed = _keyed(packets, scope)
+    keyed = keyed_packets(packets, scope)
     hot = hot_keys or (find_hot_keys(keyed, keys, hot_rows) if find_hot else None)
 
     def finish(near: DataFrame) -> DataFrame:
@@ -292,8 +294,11 @@ def label_packets(
         from flowsight.operators.duration import split_by_duration
 
         parts = [
-            (split_by_duration(df, keys, max_duration_us, max_packets), [*keys, "flow_rn"])
-            for df, _ in parts
+            (
+                split_by_duration(df, keys, max_duration_us, max_packets, hot=i > 0),
+                [*keys, "flow_rn"],
+            )
+            for i, (df, _) in enumerate(parts)
         ]
     return parts
 

@@ -18,7 +18,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def packets_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select(
+    return packets_of_events(table(spark, sf_dir, "events"))
+
+
+def with_closing_packet(packets: DataFrame) -> DataFrame:
+    """Let the first event also send a packet of no flow, far in the future, that ends a bounded stream."""
+    tail = (
+        "case when pkt_id = 0 then array(false, true) else array(false) end"
+    )
+    both = packets.selectExpr("*", f"explode({tail}) as _closing")
+    moved = {
+        "ts_us": "ts_us + 1000000000000000",
+        "protocol": "255",
+        "src_ip": "'0.0.0.0'",
+        "dst_ip": "'0.0.0.0'",
+    }
+    return both.selectExpr(
+        *[f"case when _closing then {moved[c]} else {c} end as {c}" if c in moved else c for c in packets.columns]
+    )
+
+
+def packets_of_events(events: DataFrame) -> DataFrame:
+    e = events.select(
         F.col("event_id").alias("pkt_id"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
         (F.col("user_id") % 20).alias("c"),
@@ -86,6 +107,7 @@ FLOWS_FROM_ORDERS = [
     "o_orderkey % 293 as rst_count",
     "o_orderkey % 3 as fin_count",
     "cast(40 + o_orderkey % 1400 as double) as avg_packet_size",
+    "1704067200000000 + (o_orderkey * 7919 % 86400) * 1000000 as start_us",
     f"case when {_DURATION} > 0 then (o_orderkey % 601) / ({_DURATION} / 1e6) else 0e0 end as fwd_pps",
     f"case when {_DURATION} > 0 then (o_custkey % 50) / ({_DURATION} / 1e6) else 0e0 end as bwd_pps",
 ]
@@ -111,6 +133,12 @@ FEED_LINES_FROM_SUPPLIER = [
     " else concat('10.0.', cast(s_suppkey % 4 as varchar(20)), '.', cast(s_suppkey * 5 % 250 as varchar(20)), '/2', cast(s_suppkey % 10 as varchar(20)), ' net') end as line",
 ]
 
+OUTSIDE_ENDS = [
+    "case when flow_id % 5 = 0 then concat('203.0.113.', cast(flow_id % 250 as varchar(20)))"
+    " else concat('10.2.0.', cast((flow_id * 3 + 1) % 200 as varchar(20))) end as src_ip",
+    "case when flow_id % 7 = 0 then concat('198.51.100.', cast(flow_id % 250 as varchar(20))) else dst_ip end as dst_ip",
+]
+
 CSV_ROWS_FROM_EVENTS = [
     "event_id as pkt_id",
     "concat('/set/', case when user_id % 4 = 0 then 'Benign/a.csv'"
@@ -161,6 +189,13 @@ def feed_lines_from_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").selectExpr(*FEED_LINES_FROM_SUPPLIER)
 
 
+def outside_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same flows with every fifth one coming from, and every seventh one going to, outside."""
+    flows = flows_from_orders(spark, sf_dir)
+    kept = [c for c in flows.columns if c not in ("src_ip", "dst_ip")]
+    return flows.selectExpr(*kept, *OUTSIDE_ENDS)
+
+
 def csv_rows_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(*CSV_ROWS_FROM_EVENTS)
 

@@ -548,3 +548,93 @@ ORACLES["temperatures"] = f"""with {SCORED}, l as (select y_true, list_transform
   t as (select y_true, g, list_max(g) as top, temperature from l, (values (0.5e0), (1e0), (1.5e0), (2e0), (4e0)) v(temperature)),
   s as (select *, list_sum(list_transform(g, lambda x: exp((x - top) / temperature))) as z from t)
   select temperature, round(avg(ln(z) - (g[y_true + 1] - top) / temperature), 8) as log_loss from s group by temperature"""
+
+# -- alert texts -------------------------------------------------------------
+
+_SHOWN = "cast(cast(confidence as float) as double)"
+_TI_TEXT = "ti_text as (select flow_id, string_agg(feed_name, ',' order by place) as feeds, min_by(feed_name, place) as first_feed from ti group by flow_id)"
+_RULE_TEXT = "rule_text as (select flow_id, string_agg(rule_name, ',' order by k) as names, min_by(rule_name, k) as first_rule from fired group by flow_id)"
+_WITH_TEXT = f"{DETECTED}, {_TI_TEXT}, {_RULE_TEXT}"
+_FROM_TEXT = "from fused join flows using (flow_id) left join ti_text using (flow_id) left join rule_text using (flow_id)"
+_SUMMARY = f"printf('%s detected with %.0f%% ML confidence', {_attack('verdict')}, confidence * 100)"
+ORACLES["cef_alerts"] = f"""{_WITH_TEXT} select flow_id, concat('CEF:0|flowsight|flowsight|1.0|flowsight-', source, '-', verdict, '|', {_attack('verdict')}, '|',
+  cast(round(score * 10) as int), '|src=', src_ip, ' dst=', dst_ip, ' spt=', src_port, ' dpt=', dst_port, ' proto=', protocol,
+  ' cs1=', printf('%.2f', {_SHOWN} + 1e-10), ' cs1Label=mlConfidence cs2=', source, ' cs2Label=detectionSource cs3=', coalesce(feeds, ''),
+  ' cs3Label=threatIntelFeeds cs4=', coalesce(names, ''), ' cs4Label=heuristicRules cn1=', cast(round(score * 100) as int),
+  ' cn1Label=combinedScore msg=', {_SUMMARY}) as line {_FROM_TEXT}"""
+ORACLES["leef_alerts"] = f"""{_WITH_TEXT} select flow_id, concat('LEEF:2.0|flowsight|flowsight|1.0|', source, '-', verdict, '|src=', src_ip, chr(9), 'dst=', dst_ip,
+  chr(9), 'srcPort=', src_port, chr(9), 'dstPort=', dst_port, chr(9), 'proto=', {_proto()}, chr(9), 'sev=', greatest(1, cast(round(score * 10) as int)),
+  chr(9), 'cat=', {_attack('verdict')}, chr(9), 'reason=', {_SUMMARY}) as line {_FROM_TEXT}"""
+ORACLES["json_alerts"] = f"""{_WITH_TEXT} select strftime(make_timestamp(start_us + duration_us), '%Y-%m-%dT%H:%M:%S.') || lpad(cast((start_us + duration_us) // 1000 % 1000 as varchar), 3, '0') || 'Z' as stamp,
+  src_ip as src, cast(fwd_packets + bwd_packets as varchar) as packets, cast(duration_us // 1000 as varchar) as ms, {_attack('verdict')} as verdict, source,
+  first_feed as feed, first_rule as rule {_FROM_TEXT} where is_flagged"""
+
+# -- hunting -----------------------------------------------------------------
+
+_NOON = I.EPOCH_US + 43_200_000_000
+ORACLES["flow_search"] = f"""{DETECTED} select flow_id, start_us, src_ip, dst_ip, source from fused join flows using (flow_id)
+  where (src_ip like '10.0.2.%' or dst_ip like '10.0.2.%') and protocol = 6 and is_flagged and score >= 0.4e0 and start_us >= {I.EPOCH_US + 3_600_000_000}
+  order by start_us desc, flow_id limit 50 offset 10"""
+ORACLES["frequent_ports"] = f"with {FLOWS_IN} select dst_port, count(*) as flows from flows group by 1 order by flows desc, dst_port limit 20"
+ORACLES["duration_summary"] = f"""with {FLOWS_IN} select protocol, count(*) as n, min(duration_us) as least, max(duration_us) as most,
+  cast(sum(duration_us) as bigint) as total, round(avg(duration_us), 6) as average from flows group by 1"""
+_FEED2 = FEEDS.replace("feeds as (", "all_feeds as (") + ", feeds as (select * from all_feeds where feed_name = 'feed_2')"
+ORACLES["indicator_hits"] = f"""with {FLOWS_IN}, {_FEED2}, {TI} select flow_id, dst_ip, dst_port from flows where start_us between {I.EPOCH_US} and {_NOON}
+  and (dst_port in (31337, 6667) or flow_id in (select flow_id from ti where not is_source))"""
+ORACLES["correlated_groups"] = f"""with {FLOWS_IN}, w as (select *, start_us - start_us % 300000000 as window_us from flows)
+  select 'source' as kind, src_ip as who, window_us, count(*) as flows from w group by all having count(*) >= 3
+  union all select 'target', dst_ip, window_us, count(*) from w group by all having count(*) >= 3
+  union all select 'time', '', window_us, count(*) from w group by all having count(*) >= 3"""
+ORACLES["sweeps"] = f"""with {FLOWS_IN}, w as (select *, start_us - start_us % 3600000000 as window_us from flows)
+  select 'port' as kind, window_us, src_ip, count(distinct dst_port) as targets, count(*) as flows from w group by all having count(distinct dst_port) >= 5
+  union all select 'network', window_us, src_ip, count(distinct dst_ip), count(*) from w group by all having count(distinct dst_ip) >= 5"""
+_OUTSIDE_FLOWS = (
+    FLOWS_IN.replace("flows as (", "plain as (")
+    + ", flows as (select * exclude (src_ip, dst_ip), "
+    + ", ".join(I.OUTSIDE_ENDS)
+    + " from plain)"
+)
+_OUTSIDE = f"with {_OUTSIDE_FLOWS}, {PREDICTIONS}, {FEEDS}, {TI}, {rules_cte()}, {fused_cte(SCORES)}, det as (select *, src_ip like '10.%' as si, dst_ip like '10.%' as di from fused join flows using (flow_id))"
+_LATERAL = """lat as (select * from det d where si and di and exists (select 1 from det a where a.is_flagged and not a.si and a.di
+    and a.dst_ip = d.src_ip and a.start_us between d.start_us - 300000000 and d.start_us))"""
+ORACLES["lateral_flows"] = f"{_OUTSIDE}, {_LATERAL} select flow_id, src_ip, dst_ip, start_us from lat"
+ORACLES["incident_timeline"] = f"""{_OUTSIDE}, {_LATERAL}, w as (select *, start_us - start_us % 300000000 as window_us from det),
+  pairs as (select src_ip, dst_ip, window_us, min(start_us) as at_us from w group by all),
+  ev as (select 'FirstContact' as event, src_ip, min(start_us) as at_us from det group by src_ip
+  union all select 'Reconnaissance', src_ip, window_us from w group by src_ip, window_us having count(distinct dst_port) >= 4
+  union all select 'Exploitation', src_ip, start_us from det where atk
+  union all select 'LateralMovement', src_ip, start_us from lat
+  union all select 'Exfiltration', src_ip, start_us from det where si and not di and fwd_packets * avg_packet_size >= 500000
+  union all select 'Persistence', src_ip, min(at_us) from pairs group by src_ip, dst_ip having count(*) >= 3)
+  select event, src_ip, count(*) as n, min(at_us) as first_us, max(at_us) as last_us from ev group by event, src_ip"""
+
+
+def _baseline(source):
+    return f"""per as (select start_us // 60000000 as minute, count(*) as flows, sum(fwd_packets + bwd_packets) as packets,
+    sum((fwd_packets + bwd_packets) * avg_packet_size) as bytes from {source} group by 1),
+  base as (select avg(flows) as flows_mean, avg(packets) as packets_mean, avg(bytes) as bytes_mean, stddev_pop(flows) as flows_std,
+    stddev_pop(packets) as packets_std, stddev_pop(bytes) as bytes_std, (select avg(duration_us) from {source}) as duration_mean,
+    (select stddev_pop(duration_us) from {source}) as duration_std from per)"""
+
+
+ORACLES["baseline_metrics"] = f"with {FLOWS_IN}, {_baseline('flows')} select " + ", ".join(
+    f"round({c}, 3) as {c}"
+    for c in [*[f"{m}_{s}" for s in ("mean", "std") for m in ("flows", "packets", "bytes")], "duration_mean", "duration_std"]
+) + " from base"
+ORACLES["anomalies"] = f"""with {FLOWS_IN}, past as (select * from flows where start_us < {_NOON}), cur as (select * from flows where start_us >= {_NOON}),
+  {_baseline('past')}, m as (select start_us // 60000000 as minute, count(*) as flows, sum(fwd_packets + bwd_packets) as packets,
+    sum((fwd_packets + bwd_packets) * avg_packet_size) as bytes from cur group by 1)""" + " ".join(
+    f"{'union all' if i else ''} select 'volume {c}' as kind, cast(minute as varchar) as what, round(({c} - {c}_mean) / {c}_std, 6) as sigma from m, base where ({c} - {c}_mean) / {c}_std >= 2"
+    for i, c in enumerate(("flows", "packets", "bytes"))
+) + """ union all select 'duration', cast(flow_id as varchar), round((duration_us - duration_mean) / duration_std, 6) from cur, base
+    where abs((duration_us - duration_mean) / duration_std) >= 1.5
+  union all select 'port', cast(dst_port as varchar), cast(count(*) as double) from cur where dst_port not in (select dst_port from past) group by dst_port
+  union all select 'ratio', cast(flow_id as varchar), 0e0 from cur where bwd_packets > 0 and fwd_packets >= 40 * bwd_packets"""
+ORACLES["address_frequency"] = f"with {FLOWS_IN} select src_ip as value, count(*) as flows from flows group by 1"
+
+# -- state -------------------------------------------------------------------
+
+ORACLES["streamed_flow_metadata"] = f"{ASSEMBLED}, info as ({INFO}) select * exclude (reason) from info"
+ORACLES["streamed_port_scans"] = f"""with {PACKETS}, w as (select ts_us - ts_us % 300000000 as window_us, src_ip, src_port * 7 % 50 + total_len as port from packets)
+  select window_us, src_ip, cast(count(distinct port) as int) as distinct_ports, round(least(1e0, count(distinct port) / 60e0), 6) as severity
+  from w group by 1, 2 having count(distinct port) >= 20"""

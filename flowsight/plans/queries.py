@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowsight.functions import names as N
 from flowsight.functions import scalar as S
 from flowsight.operators import evaluate as E
+from flowsight.operators import hunt as H
 from flowsight.operators import prepare as P
 from flowsight.operators import reports as R
 from flowsight.operators.assemble import assemble_flows, flow_diagnostics, with_flow_key
@@ -24,17 +25,23 @@ from flowsight.operators.scoring import (
     score_by_port,
 )
 from flowsight.operators.threats import feed_inventory, match_threats
+from flowsight.operators.train import predict, train_classifier, with_class_weight
 from flowsight.plans import inputs as I
 from flowsight.plans.detection import analyse, reanalyse
 from flowsight.schema import FEATURE_COLUMNS, FEATURE_NAMES
 from flowsight.sources.feeds import parse_feed_lines
-from flowsight.sources.packets import parse_packet_rows
+from flowsight.session import scratch_folder
+from flowsight.sources.packets import parse_packet_rows, with_event_time
 from flowsight.sources.sinks import (
+    alert_json,
     alert_line,
+    cef_line,
     filter_alerts,
+    leef_line,
     syslog_severity,
     to_events,
 )
+from flowsight.streaming.sessions import stream_flows, stream_port_scan
 
 TIMEOUT_US = 15_000_000
 Query = Callable[[SparkSession, str], DataFrame]
@@ -717,3 +724,211 @@ def temperatures(spark, d):
 
 
 FEATURES_IN_ORDER = FEATURE_NAMES
+
+
+# -- alert texts -------------------------------------------------------------
+
+
+@query
+def cef_alerts(spark, d):
+    return _detected(spark, d).select("flow_id", cef_line().alias("line"))
+
+
+@query
+def leef_alerts(spark, d):
+    return _detected(spark, d).select("flow_id", leef_line().alias("line"))
+
+
+@query
+def json_alerts(spark, d):
+    """Fields read back from the JSON document of each flagged flow."""
+    f = filter_alerts(_detected(spark, d).selectExpr("*", "start_us + duration_us as end_us"))
+    j = alert_json(f)
+    path = {
+        "stamp": "timestamp",
+        "src": "flow.srcIp",
+        "packets": "flow.packetCount",
+        "ms": "flow.durationMs",
+        "verdict": "detection.finalVerdict",
+        "source": "detection.detectionSource",
+        "feed": "detection.threatIntel[0].feed",
+        "rule": "detection.heuristicRules[0].name",
+    }
+    return j.select(*[F.get_json_object("value", f"$.{p}").alias(n) for n, p in path.items()])
+
+
+# -- hunting -----------------------------------------------------------------
+
+
+def _outside(spark, d):
+    flows = I.outside_flows(spark, d)
+    return detect(flows, _feeds(spark, d), I.predictions_from_flows(flows))
+
+
+@query
+def flow_search(spark, d):
+    found = H.search(
+        _detected(spark, d),
+        limit=50,
+        offset=10,
+        any_ip="10.0.2.0/24",
+        protocol=6,
+        flagged=True,
+        min_score=0.4,
+        start_us=I.EPOCH_US + 3_600_000_000,
+    )
+    return found.select("flow_id", "start_us", "src_ip", "dst_ip", "source")
+
+
+@query
+def frequent_ports(spark, d):
+    return H.distinct_values(I.flows_from_orders(spark, d), "dst_port", 20)
+
+
+@query
+def duration_summary(spark, d):
+    s = H.field_summary(I.flows_from_orders(spark, d), "duration_us", "protocol")
+    return s.selectExpr("protocol", "n", "least", "most", "total", "round(average, 6) as average")
+
+
+@query
+def indicator_hits(spark, d):
+    """Addresses and blocks taken from the supplier feed, plus two ports, in half a day of flows."""
+    lines = I.feed_lines_from_supplier(spark, d).filter("feed_name = 'feed_2'").select("line")
+    hits = H.indicator_search(
+        I.flows_from_orders(spark, d),
+        lines,
+        ports=[31337, 6667],
+        start_us=I.EPOCH_US,
+        end_us=I.EPOCH_US + 43_200_000_000,
+        side="dst",
+    )
+    return hits.select("flow_id", "dst_ip", "dst_port")
+
+
+@query
+def correlated_groups(spark, d):
+    f = I.flows_from_orders(spark, d)
+    one = H.same_source(f).selectExpr("'source' as kind", "src_ip as who", "window_us", "flows")
+    two = H.same_target(f).selectExpr("'target' as kind", "dst_ip as who", "window_us", "flows")
+    three = H.close_in_time(f).selectExpr("'time' as kind", "'' as who", "window_us", "flows")
+    return one.unionByName(two).unionByName(three)
+
+
+@query
+def sweeps(spark, d):
+    f = I.flows_from_orders(spark, d)
+    hour = 3_600_000_000
+    one = H.port_sweep(f, hour, 5).selectExpr("'port' as kind", "*")
+    return one.unionByName(H.network_sweep(f, hour, 5).selectExpr("'network' as kind", "*"))
+
+
+@query
+def lateral_flows(spark, d):
+    return H.lateral_movement(_outside(spark, d)).select("flow_id", "src_ip", "dst_ip", "start_us")
+
+
+@query
+def incident_timeline(spark, d):
+    t = H.timeline(_outside(spark, d), exfiltration_bytes=500_000, sweep=4)
+    return t.groupBy("event", "src_ip").agg(
+        _n(), F.min("at_us").alias("first_us"), F.max("at_us").alias("last_us")
+    )
+
+
+@query
+def baseline_metrics(spark, d):
+    b = H.traffic_baseline(I.flows_from_orders(spark, d))
+    return b.selectExpr(*[f"round({c}, 3) as {c}" for c in b.columns])
+
+
+@query
+def anomalies(spark, d):
+    """The second half of the day against the first."""
+    flows = I.flows_from_orders(spark, d)
+    noon = I.EPOCH_US + 43_200_000_000
+    past, now = flows.filter(F.col("start_us") < noon), flows.filter(F.col("start_us") >= noon)
+    base = H.traffic_baseline(past)
+    volume = H.volume_anomalies(now, base, 2.0).selectExpr(
+        "concat('volume ', metric) as kind", "cast(minute as string) as what", "round(sigma, 6) as sigma"
+    )
+    length = H.duration_anomalies(now, base, 1.5).selectExpr(
+        "'duration' as kind", "cast(flow_id as string) as what", "round(sigma, 6) as sigma"
+    )
+    ports = H.new_values(now, past, "dst_port").selectExpr(
+        "'port' as kind", "cast(dst_port as string) as what", "cast(flows as double) as sigma"
+    )
+    ratio = H.byte_ratio_anomalies(now, 40.0).selectExpr(
+        "'ratio' as kind", "cast(flow_id as string) as what", "0.0D as sigma"
+    )
+    return volume.unionByName(length).unionByName(ports).unionByName(ratio)
+
+
+@query
+def address_frequency(spark, d):
+    return H.value_frequency(I.flows_from_orders(spark, d), "src_ip")
+
+
+# -- state and order ---------------------------------------------------------
+
+
+@query
+def duration_splits(spark, d):
+    """Flows also cut after 4 s, with packet-less successors. A scan: checked against brute force."""
+    flows = _assembled(spark, d, max_duration_us=4_000_000, emit_empty_tail=True)
+    return flow_info(flows, "start_us", "end_us", "reason")
+
+
+@query
+def streamed_flow_metadata(spark, d):
+    """The packets as a stream, sessionised with state and closed by a far-future packet; the flows of
+    all micro-batches must equal the batch result (an idle flow ends by timeout, never by end of input)."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    folder = scratch_folder(spark)
+    events_only = (
+        spark.readStream.schema(I.table(spark, d, "events").schema)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(d)
+    )
+    packets = I.with_closing_packet(I.packets_of_events(events_only))
+    out = f"{folder}/flows"
+
+    def keep(batch, batch_id):
+        # the batch id names the folder: a repeated batch overwrites itself
+        flow_info(batch, "start_us", "end_us").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    stream_flows(
+        with_event_time(packets),
+        [keep],
+        f"{folder}/checkpoint",
+        timeout_us=TIMEOUT_US,
+        max_duration_us=None,
+        watermark="1 second",
+    ).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
+@query
+def streamed_port_scans(spark, d):
+    """Port scans per 5 minutes of the event stream, by the streaming operator on the whole table."""
+    p = with_event_time(I.packets_from_events(spark, d))
+    wide = p.selectExpr("ts", "src_ip", "cast(src_port * 7 % 50 + total_len as int) as dst_port")
+    return stream_port_scan(wide, watermark=None).selectExpr(
+        "cast(unix_micros(window_start) as bigint) as window_us", "src_ip", "distinct_ports",
+        "round(severity, 6) as severity",
+    )
+
+
+@query
+def forest_predictions(spark, d):
+    """A random forest with class weights, trained on three splits in four and read back as classes."""
+    rows = I.feature_rows_from_embeddings(spark, d)
+    s = P.stratified_split(rows, order=ORDER, key=("vec_id",))
+    train = s.filter("split = 'train'")
+    weighted = with_class_weight(train, P.class_weights(train))
+    model = train_classifier(weighted, V, weight="weight", numTrees=10, maxDepth=5)
+    scored = interpret(predict(model, s.filter("split = 'test'")))
+    return scored.select("vec_id", "label", "classification", "confidence")

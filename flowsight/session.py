@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,14 @@ def build_session(app: str = "flowsight", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A fresh folder below the shared folder the cluster names; a local one only where none is named."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/flowsight-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix="flowsight-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder named by ``spark.checkpoint.dir``.
 

@@ -176,9 +176,10 @@ def with_rule_signals(flows: DataFrame, rules: Sequence[Rule] | None = None) ->
     levels = [f"_severity{i}" for i in range(len(rules))]
     fired = flows.selectExpr("*", *[f"{r.fired()} as {c}" for r, c in zip(rules, levels)])
     matches = ", ".join(r.match(c) for r, c in zip(rules, levels))
+    # array_except drops the nulls like array_compact, but is compiled where that is interpreted
     return fired.selectExpr(
         *flows.columns,
-        f"cast(array_compact(array({matches})) as {RULE_MATCHES}) as rule_matches",
+        f"cast(array_except(array({matches}), array(null)) as {RULE_MATCHES}) as rule_matches",
         f"({' or '.join(f'{c} is not null' for c in levels)}) as has_rule",
         f"greatest(0.0D, {', '.join(levels)}) as max_severity",
     )

@@ -86,7 +86,7 @@ def _matches() -> str:
         )
 
     pair = f"array({side('src_ip', '_src', 'true')}, {side('dst_ip', '_dst', 'false')})"
-    return f"cast(array_compact({pair}) as {TI_MATCHES})"
+    return f"cast(array_except({pair}, array(null)) as {TI_MATCHES})"
 
 
 def with_threat_signals(

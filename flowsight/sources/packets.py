@@ -47,8 +47,10 @@ def read_packet_csv(spark: SparkSession, path: str) -> DataFrame:
         .option("enforceSchema", "false")
         .csv(path)
     )
+    # file paths come URL-encoded ("SYN%20Flood"); "+" is a plain character in them
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return raw.withColumns(
-        {"path": F.col("_metadata.file_path"), "pkt_id": F.monotonically_increasing_id()}
+        {"path": path, "pkt_id": F.monotonically_increasing_id()}
     )
 
 

@@ -30,7 +30,7 @@ def random_packets(n, seed, keys=5, step=400_000):
     rng = random.Random(seed)
     ends = [(f"10.0.0.{i}", 1000 + i, f"10.0.1.{i % 2}", 80 + i) for i in range(keys)]
     ends[0] = ("10.0.0.9", 7, "10.0.0.9", 7)  # both ends equal
-    protos = [6, 17, 1, 6, 6]
+    protos = [17, 6, 1, 6, 6]
     out, ts = [], 0
     for _ in range(n):
         ts += rng.choice([0, 1, 1000, step, step, step * 4, step * 30])

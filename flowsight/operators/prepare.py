@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsight.schema import CLIP_VALUE, FEATURE_COLUMNS, N_CLASSES, NEAR_ZERO_STD
+from flowsight.session import broadcast_if_small
 
 # Training label -> class code.
 LABELS = {
@@ -101,7 +102,8 @@ def with_label(rows: DataFrame, root: str, path: str = "path") -> DataFrame:
     """Add ``label_code`` per source file: from its folder, else from a single-valued label column.
 
     The per-file summary is combined map-side (min and max suffice to tell a single value) and has one
-    row per file; the result is joined back by path only when a label column has to be consulted.
+    row per file, so it is normally broadcast: a file may hold a large share of all rows, and its rows
+    should not meet in one task. Without a label column there is no join at all.
     """
     base, columns = root.rstrip("/"), [f"`{c}`" for c in rows.columns]
     relative = f"regexp_replace({path}, concat('^.*?', {_literal(_quote(base))}, '/'), '')"
@@ -112,7 +114,7 @@ def with_label(rows: DataFrame, root: str, path: str = "path") -> DataFrame:
             .agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"))
             .selectExpr(path, "case when _lo = _hi then trim(_lo) end as _file_label")
         )
-        out = out.join(single, path, "left")
+        out = out.join(broadcast_if_small(single), path, "left")
         raw = "coalesce(_folder_label, _file_label, 'Benign')"
     else:
         raw = "coalesce(_folder_label, 'Benign')"

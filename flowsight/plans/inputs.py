@@ -41,7 +41,10 @@ def with_closing_packet(packets: DataFrame) -> DataFrame:
 def packets_of_events(events: DataFrame) -> DataFrame:
     e = events.select(
         F.col("event_id").alias("pkt_id"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+        # wall-clock time read as UTC, whatever the session time zone
+        F.unix_micros(
+            F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
+        ).alias("us"),
         (F.col("user_id") % 20).alias("c"),
         F.col("event_type").isin("error", "view").alias("bwd"),
         F.floor("value").cast("int").alias("v"),

@@ -386,8 +386,8 @@ ORACLES["fusion_without_rules"] = (
 ORACLES["classifier_only"] = f"""with {FLOWS_IN}, {PREDICTIONS} select flow_id, cast(classification as int) as classification, confidence,
   cast(classification as int) as verdict, 0e0 as combined_score, 'MlOnly' as source, cast(0 as int) as ti, cast(0 as int) as rules,
   classification not in (0, 16) as is_flagged from predictions"""
-_SOME = """select flow_id, cast(case when flow_id % 3 <> 0 then classification else 16 end as int) as classification,
-  case when flow_id % 3 <> 0 then confidence else 0 end as confidence from predictions"""
+_SOME = """select flow_id, cast(case when protocol <> 1 then classification else 16 end as int) as classification,
+  case when protocol <> 1 then confidence else 0 end as confidence from predictions join flows using (flow_id)"""
 ORACLES["fusion_missing_scores"] = f"""with {FLOWS_IN}, {PREDICTIONS}, {FEEDS}, {TI}, {rules_cte()},
   {fused_cte(_SOME, w=("0.4e0", "0.4e0", "0.2e0"), threshold="0.9e0")} {FUSED_COLUMNS}"""
 _SWEEP = []
@@ -399,7 +399,7 @@ for _m, _t, _h, _c in [(0.5, 0.3, 0.2, 0.7), (0.2, 0.6, 0.2, 0.5), (0.8, 0.1, 0.
         " from fused group by verdict)"
     )
 ORACLES["weight_sweep"] = f"with {FLOWS_IN}, {PREDICTIONS}, {FEEDS}, {TI}, {rules_cte()} " + " union all ".join(_SWEEP)
-ORACLES["results_with_metadata"] = f"""with {FLOWS_IN}, {PREDICTIONS}, kept as (select * from flows where flow_id % 4 <> 0)
+ORACLES["results_with_metadata"] = f"""with {FLOWS_IN}, {PREDICTIONS}, kept as (select * from flows where protocol <> 17)
   select p.flow_id, p.classification, p.confidence, coalesce(src_ip, '') as src_ip, coalesce(dst_port, 0) as dst_port,
   coalesce(fwd_packets, 0) as fwd_packets, coalesce(avg_packet_size, 0) as avg_packet_size from predictions p left join kept s on s.flow_id = p.flow_id"""
 _BUILT_FLOWS = """flows as (select flow_id, src_ip, dst_ip, src_port, dst_port, protocol, fn as fwd_packets, bn as bwd_packets, dur as duration_us,

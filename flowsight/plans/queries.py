@@ -348,7 +348,7 @@ def classifier_only(spark, d):
 def fusion_missing_scores(spark, d):
     """Flows whose score never arrived are Unknown with confidence 0."""
     flows = I.flows_from_orders(spark, d)
-    scores = I.predictions_from_flows(flows).filter("flow_id % 3 <> 0")
+    scores = I.predictions_from_flows(flows.filter("protocol <> 1"))
     return _fused(detect(flows, _feeds(spark, d), scores, weights=(0.4, 0.4, 0.2), threshold=0.9))
 
 
@@ -365,7 +365,7 @@ def weight_sweep(spark, d):
 def results_with_metadata(spark, d):
     flows = I.flows_from_orders(spark, d)
     results = I.predictions_from_flows(flows).select("flow_id", "classification", "confidence")
-    return attach_results(results, flows.filter("flow_id % 4 <> 0")).select(
+    return attach_results(results, flows.filter("protocol <> 17")).select(
         "flow_id", "classification", "confidence", "src_ip", "dst_port", "fwd_packets", "avg_packet_size"
     )
 

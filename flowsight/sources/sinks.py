@@ -95,7 +95,8 @@ def alert_json(detections: DataFrame) -> DataFrame:
         "rule_matches",
         lambda r: F.struct(r["rule_name"].alias("name"), r["severity"].alias("severity")),
     )
-    stamp = F.date_format(F.timestamp_micros("end_us"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    utc = F.to_utc_timestamp(F.timestamp_micros("end_us"), F.current_timezone())
+    stamp = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     flow = F.struct(
         F.col("src_ip").alias("srcIp"),
         F.col("dst_ip").alias("dstIp"),

@@ -1,0 +1,59 @@
+"""Token ids of whole texts, each distinct piece encoded once per task."""
+
+from __future__ import annotations
+
+import re
+from itertools import chain
+
+import numpy as np
+
+CACHE = 400_000
+# two white-space characters in a row: there the pieces of a text are not independent, so it is encoded whole
+_RUN = re.compile(r"\s\s")
+
+
+class Encoder:
+    """Ids by a byte-level BPE file of the ``tokenizers`` library.
+
+    A pre-token takes at most one leading space and none crosses a single space or line end between other
+    characters, so such a text is the sequence of its pieces' ids. Distinct pieces are encoded once and remembered;
+    the memory is emptied when full and never changes a result.
+    """
+
+    def __init__(self, path: str) -> None:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.zeros(0, np.uint32)
+        if _RUN.search(text):
+            return np.array(self._whole([text])[0], np.uint32)
+        pieces = []
+        for number, line in enumerate(text.split("\n")):
+            first, *rest = line.split(" ")
+            if number:
+                pieces.append("\n")
+            pieces.append(first)
+            pieces.extend([" " + x for x in rest])
+        new = [x for x in set(pieces) if x not in self.known]
+        if new:
+            if len(self.known) > CACHE:
+                self.known.clear()
+                new = list(set(pieces))
+            self.known.update(zip(new, map(tuple, self._whole(new)), strict=True))
+        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, pieces)), np.uint32)
+
+
+def default_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from flowsight.llm.contamination import op3_decontamination
 from flowsight.llm.packing import op6_packing
 from flowsight.llm.quality import op7_repetition
 
-QUERIES = {"op6_packing": op6_packing, "op7_repetition": op7_repetition}
+QUERIES = {
+    "op3_decontamination": op3_decontamination,
+    "op6_packing": op6_packing,
+    "op7_repetition": op7_repetition,
+}
 ORACLES: dict[str, str] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from flowsight.llm.archive import op9_token_archive
 from flowsight.llm.contamination import op3_decontamination
 from flowsight.llm.packing import op6_packing
 from flowsight.llm.quality import op7_repetition
@@ -10,5 +11,6 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op6_packing": op6_packing,
     "op7_repetition": op7_repetition,
+    "op9_token_archive": op9_token_archive,
 }
 ORACLES: dict[str, str] = {}

@@ -17,8 +17,13 @@ from flowsight.schema import CLIP_VALUE, FEATURE_COLUMNS, N_CLASSES, NEAR_ZERO_S
 
 
 def confusion(scored: DataFrame, n_classes: int = N_CLASSES) -> DataFrame:
-    """(y_true, y_pred, n, share) for every pair of classes; share is of the true class, 0 if absent."""
-    counted = scored.groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
+    """(y_true, y_pred, n, share) for every pair of classes; share is of the true class, 0 if absent.
+
+    A row whose true or predicted class lies outside 0 .. n_classes - 1 (such as the unknown class) or is null
+    belongs to no cell and is left out of the grid.
+    """
+    known = " and ".join(f"{c} between 0 and {n_classes - 1}" for c in ("y_true", "y_pred"))
+    counted = scored.filter(known).groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
     cell = f"y_true * {n_classes} + y_pred"
     gathered = counted.agg(
         F.map_from_entries(F.collect_list(F.expr(f"struct({cell}, n)"))).alias("cells")

@@ -221,18 +221,24 @@ def stratified_split(
     Rows of a class are ranked by ``order`` (a LONG pseudo-random expression; ``key`` breaks ties) and cut
     at exact counts. The order is bucketed and counted first, so all but the buckets that hold a cut
     - two per class of 4096 - are assigned without ranking; only rows in those few are sorted.
-    No class is ever gathered in one task.
+    No class is ever gathered in one task. Null labels form a class of their own.
     """
+    shared = lambda right, *names: [F.col(f"l.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in names]
     bucketed = df.withColumn("_bucket", F.expr(f"pmod({order}, {SPLIT_BUCKETS}L)"))
     counts = bucketed.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("b"))
     # at most classes x 4096 rows from here on
     totals = counts.groupBy(label).agg(F.sum("b").alias("n"))
-    ends = counts.selectExpr(
-        label,
-        "_bucket",
-        "b",
-        f"sum(b) over (partition by {label} order by _bucket) as _end",
-    ).join(F.broadcast(split_sizes(label, totals, val, test, least)), label)
+    ends = (
+        counts.selectExpr(
+            label,
+            "_bucket",
+            "b",
+            f"sum(b) over (partition by {label} order by _bucket) as _end",
+        )
+        .alias("l")
+        .join(F.broadcast(split_sizes(label, totals, val, test, least)).alias("s"), shared("s", label))
+        .select("l.*", "s.n_train", "s.n_val_end")
+    )
     plan = ends.selectExpr(
         label,
         "_bucket",
@@ -243,7 +249,11 @@ def stratified_split(
         " when _end - b >= n_train and _end <= n_val_end then 'val'"
         " when _end - b >= n_val_end then 'test' end as split",
     )
-    placed = bucketed.join(F.broadcast(plan), [label, "_bucket"])
+    placed = (
+        bucketed.alias("l")
+        .join(F.broadcast(plan).alias("p"), shared("p", label, "_bucket"))
+        .select("l.*", "p._start", "p.n_train", "p.n_val_end", "p.split")
+    )
     whole = placed.filter("split is not null").select(*df.columns, "split")
     ties = ", ".join([f"({order})", *key])
     rank = f"_start + row_number() over (partition by {label}, _bucket order by {ties})"

@@ -34,9 +34,9 @@ def train_classifier(
 
 
 def with_class_weight(train: DataFrame, weights: DataFrame, label: str = "label") -> DataFrame:
-    """Attach the per-class weight to each row; the weight table has one row per class."""
+    """Attach the per-class weight to each row; a label outside the weight table keeps its row at weight 1."""
     side = F.broadcast(weights.selectExpr(f"label as `{label}`", "weight"))
-    return train.join(side, label)
+    return train.join(side, label, "left").fillna({"weight": 1.0})
 
 
 def predict(model, df: DataFrame, n_classes: int = N_CLASSES) -> DataFrame:

@@ -104,3 +104,28 @@ def test_statistics(spark):
     both = df.selectExpr("a", "a * 2 + 1 as c", "b")
     assert [(r.a, r.b) for r in E.correlated_pairs(both, ["a", "c", "b"]).collect()] == [("a", "c")]
     assert E.best_temperature(scored(spark), [0.5, 1.0, 2.0, 4.0]).first().temperature in (0.5, 1.0, 2.0, 4.0)
+
+
+def test_confusion_leaves_unknown_classes_out(spark):
+    from flowsight.operators.evaluate import confusion
+
+    rows = [(0, 16), (1, 0), (1, 0), (16, 3), (None, 1), (2, None)]
+    cells = confusion(spark.createDataFrame(rows, "y_true int, y_pred int")).filter("n > 0").collect()
+    assert [(c.y_true, c.y_pred, c.n, c.share) for c in cells] == [(1, 0, 2, 1.0)]
+
+
+def test_split_keeps_null_labels(spark):
+    from flowsight.operators.prepare import stratified_split
+
+    rows = spark.range(100).selectExpr("id as flow_id", "if(id % 2 = 0, null, 1) as label")
+    out = stratified_split(rows)
+    assert out.columns == ["flow_id", "label", "split"]
+    assert out.select("flow_id").distinct().count() == out.count() == 100
+
+
+def test_class_weight_keeps_rows_outside_the_table(spark):
+    from flowsight.operators.train import with_class_weight
+
+    rows = spark.createDataFrame([(1,), (99,), (None,)], "label int")
+    out = with_class_weight(rows, spark.createDataFrame([(1, 2.5)], "label int, weight double"))
+    assert sorted(((r.label or 0), r.weight) for r in out.collect()) == [(0, 1.0), (1, 2.5), (99, 1.0)]

@@ -334,20 +334,22 @@ def correlated_pairs(
 ) -> DataFrame:
     """(a, b, r) of feature pairs with abs(r) above ``limit``, over all rows.
 
-    The correlation matrix - columns * columns numbers - is computed by the cluster in one job.
+    The correlation matrix - columns * columns numbers - is computed by the cluster in one job, over the rows
+    that have a number in every column. A pair with a constant column has no r; with ``limit=None`` it is
+    returned with a null r.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.stat import Correlation
 
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="_v", handleInvalid="skip").transform(
         data.select(*columns)
     )
     matrix = Correlation.corr(vectors.select("_v"), "_v").first()[0].toArray()
     pairs = [
-        (columns[i], columns[j], float(matrix[i, j]))
+        (columns[i], columns[j], None if matrix[i, j] != matrix[i, j] else float(matrix[i, j]))
         for i in range(len(columns))
         for j in range(i + 1, len(columns))
-        if matrix[i, j] == matrix[i, j] and (limit is None or abs(matrix[i, j]) > limit)
+        if limit is None or abs(matrix[i, j]) > limit
     ]
     return data.sparkSession.createDataFrame(pairs, "a string, b string, r double")
 

@@ -112,24 +112,6 @@ def score_with_model(
     return interpret(df.mapInPandas(run, f"{out}, probabilities array<double>"))
 
 
-def onnx_model(path: str, add_file: bool = False) -> Callable[[], Callable]:
-    """Loader for ``score_with_model`` backed by an ONNX file every executor can read."""
-
-    def load():
-        import onnxruntime
-
-        target = path
-        if add_file:
-            from pyspark import SparkFiles
-
-            target = SparkFiles.get(path)
-        session = onnxruntime.InferenceSession(target, providers=["CPUExecutionProvider"])
-        name = session.get_inputs()[0].name
-        return lambda x: session.run(None, {name: x})[0]
-
-    return load
-
-
 def attach_predictions(flows: DataFrame, predictions: DataFrame) -> DataFrame:
     """Left join by flow id; a flow without a prediction is Unknown with confidence 0."""
     clash = {"classification", "confidence", "probabilities"} & set(flows.columns)

@@ -33,12 +33,19 @@ def build_session(app: str = "flowsight", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+def _local_folder(spark: SparkSession, prefix: str) -> str:
+    """A machine-local folder, which only a local master may use: executors elsewhere would not share it."""
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix=prefix)
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """A fresh folder below the shared folder the cluster names; a local one only where none is named."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/flowsight-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="flowsight-")
+    return _local_folder(spark, "flowsight-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -50,7 +57,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="flowsight-checkpoint-"))
+        sc.setCheckpointDir(shared or _local_folder(spark, "flowsight-checkpoint-"))
     return df.checkpoint()
 
 

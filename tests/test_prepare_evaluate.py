@@ -129,3 +129,13 @@ def test_class_weight_keeps_rows_outside_the_table(spark):
     rows = spark.createDataFrame([(1,), (99,), (None,)], "label int")
     out = with_class_weight(rows, spark.createDataFrame([(1, 2.5)], "label int, weight double"))
     assert sorted(((r.label or 0), r.weight) for r in out.collect()) == [(0, 1.0), (1, 2.5), (99, 1.0)]
+
+
+def test_correlation_of_gaps_and_constants(spark):
+    from flowsight.operators.evaluate import correlated_pairs
+
+    rows = [(1.0, 2.0, 5.0), (2.0, 4.0, 5.0), (3.0, 6.0, 5.0), (None, 1.0, 5.0), (float("nan"), 9.0, 5.0)]
+    data = spark.createDataFrame(rows, "a double, b double, c double")
+    found = {(r.a, r.b): r.r for r in correlated_pairs(data, ["a", "b", "c"], None).collect()}
+    assert abs(found["a", "b"] - 1.0) < 1e-9 and found["a", "c"] is None and found["b", "c"] is None
+    assert [(r.a, r.b) for r in correlated_pairs(data, ["a", "b", "c"]).collect()] == [("a", "b")]

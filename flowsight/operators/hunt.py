@@ -311,7 +311,7 @@ def new_values(current: DataFrame, history: DataFrame, field: str) -> DataFrame:
 
 
 def byte_ratio_anomalies(current: DataFrame, ratio: float = 10.0) -> DataFrame:
-    """Flows that send at least ``ratio`` times the packets they receive."""
-    return current.filter(f"bwd_packets > 0 and fwd_packets >= {float(ratio)!r}D * bwd_packets").select(
+    """Flows that send at least ``ratio`` times the packets they receive; a one-way flow counts as receiving one."""
+    return current.filter(f"fwd_packets >= {float(ratio)!r}D * greatest(bwd_packets, 1)").select(
         "flow_id", "fwd_packets", "bwd_packets"
     )

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsight.llm import text as T
-from flowsight.llm.tokens import Encoder, default_path
+from flowsight.llm.tokens import default_path, encoder
 from flowsight.session import scratch_folder
 
 END_ID = 2
@@ -134,12 +134,12 @@ def write_archive(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, writer, encoder = TaskContext.get().partitionId(), None, Encoder(path)
+        number, writer, tokens = TaskContext.get().partitionId(), None, encoder(path)
         name = f"{folder}/part-{number:06d}.zst"
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 writer = writer or Writer(name)
-                writer.add(doc.as_py(), np.append(encoder.encode(text.as_py()), np.uint32(END_ID)))
+                writer.add(doc.as_py(), np.append(tokens.encode(text.as_py()), np.uint32(END_ID)))
         if writer:
             row = [pa.array([number]), pa.array([name]), pa.array([writer.close()], pa.int64())]
             yield pa.RecordBatch.from_arrays(row, ["file", "name", "n_tokens"])

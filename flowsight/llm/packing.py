@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from flowsight.llm import text as T
-from flowsight.llm.tokens import Encoder, default_path
+from flowsight.llm.tokens import default_path, encoder
 
 WINDOW = 1024
 END_ID = 0
@@ -63,13 +63,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        levels, encoder = Levels(), Encoder(path)
+        levels, tokens = Levels(), encoder(path)
         base = TaskContext.get().partitionId() * NUMBERS
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.append(encoder.encode(text.as_py()), np.uint32(END_ID)).astype("<u4")
+                ids = np.append(tokens.encode(text.as_py()), np.uint32(END_ID)).astype("<u4")
                 for start in range(0, len(ids), WINDOW):
                     piece = ids[start : start + WINDOW]
                     sequence, offset = levels.place(len(piece))

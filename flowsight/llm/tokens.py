@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 
-CACHE = 400_000
+CACHE = 800_000
 # two white-space characters in a row: there the pieces of a text are not independent, so it is encoded whole
 _RUN = re.compile(r"\s\s")
 
@@ -57,3 +58,9 @@ def default_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python worker: later tasks find what earlier ones have encoded."""
+    return Encoder(path)

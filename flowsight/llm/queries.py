@@ -6,9 +6,11 @@ from flowsight.llm.archive import op9_token_archive
 from flowsight.llm.contamination import op3_decontamination
 from flowsight.llm.packing import op6_packing
 from flowsight.llm.quality import op7_repetition
+from flowsight.llm.simhash import op5_simhash
 
 QUERIES = {
     "op3_decontamination": op3_decontamination,
+    "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op7_repetition": op7_repetition,
     "op9_token_archive": op9_token_archive,

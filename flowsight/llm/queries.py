@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from flowsight.llm.archive import op9_token_archive
 from flowsight.llm.contamination import op3_decontamination
+from flowsight.llm.lines import op10_line_dedup
 from flowsight.llm.packing import op6_packing
 from flowsight.llm.quality import op7_repetition
 from flowsight.llm.simhash import op5_simhash
@@ -14,5 +15,6 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_repetition": op7_repetition,
     "op9_token_archive": op9_token_archive,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {}

@@ -127,3 +127,18 @@ def op3_decontamination(spark, sf_dir: str) -> DataFrame:
     return contaminated(
         spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     )
+
+
+def keep_clean(
+    docs: DataFrame,
+    items: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` that hold no window of an item, with all their columns; each row is judged on its own text."""
+    key = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("k"))
+    found = contaminated(docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("text")), items, "key", "text", item_col, item_text_col)
+    gone = found.where("contaminated").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, key.eqNullSafe(F.col("gone")), "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from flowsight.llm.anchors import op4_substring_dedup
 from flowsight.llm.archive import op9_token_archive
 from flowsight.llm.contamination import op3_decontamination
 from flowsight.llm.lines import op10_line_dedup
@@ -11,6 +12,7 @@ from flowsight.llm.simhash import op5_simhash
 
 QUERIES = {
     "op3_decontamination": op3_decontamination,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op7_repetition": op7_repetition,

@@ -7,10 +7,12 @@ from flowsight.llm.archive import op9_token_archive
 from flowsight.llm.contamination import op3_decontamination
 from flowsight.llm.lines import op10_line_dedup
 from flowsight.llm.packing import op6_packing
+from flowsight.llm.personal import op1_personal_data
 from flowsight.llm.quality import op7_repetition
 from flowsight.llm.simhash import op5_simhash
 
 QUERIES = {
+    "op1_personal_data": op1_personal_data,
     "op3_decontamination": op3_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_simhash": op5_simhash,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from flowsight.llm.anchors import op4_substring_dedup
 from flowsight.llm.archive import op9_token_archive
 from flowsight.llm.contamination import op3_decontamination
+from flowsight.llm.licences import op2_licences
 from flowsight.llm.lines import op10_line_dedup
 from flowsight.llm.packing import op6_packing
 from flowsight.llm.personal import op1_personal_data
@@ -13,6 +14,7 @@ from flowsight.llm.simhash import op5_simhash
 
 QUERIES = {
     "op1_personal_data": op1_personal_data,
+    "op2_licences": op2_licences,
     "op3_decontamination": op3_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_simhash": op5_simhash,

@@ -141,14 +141,15 @@ def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     table = F.broadcast(spark.createDataFrame(known, "gram string, " + ", ".join(f"{n} double" for n in names)))
     sums = [f"coalesce(sum({n}), 0D) / sqrt(max(n)) + {float(b)!r}D as {n}" for n, b in zip(names, model.bias, strict=True)]
     scored = each.join(table, "gram", "left").groupBy("doc_id", "k", "line").agg(*[F.expr(s) for s in sums])
-    heats = [f"exp(({n} - greatest({', '.join(names)})) / {model.temperature!r}D)" for n in names]
-    total = " + ".join(heats)
-    chances = [
-        f"struct({h} / ({total}) as probability, '{f}' as family)" for h, f in zip(heats, model.families, strict=True) if f != NONE
-    ]
-    best = scored.selectExpr("doc_id", "k", "line", f"array_max(array({', '.join(chances)})) as best")
+    key = ["doc_id", "k", "line"]
+    scored = scored.selectExpr(*key, *names, f"greatest({', '.join(names)}) as most")
+    scored = scored.selectExpr(*key, *[f"exp(({n} - most) / {model.temperature!r}D) as {n}" for n in names])
+    scored = scored.selectExpr(*key, *names, f"{' + '.join(names)} as total")
+    chances = [f"struct({n} as chance, '{f}' as family)" for n, f in zip(names, model.families, strict=True) if f != NONE]
+    best = scored.selectExpr(*key, "total", f"array_max(array({', '.join(chances)})) as best")
+    best = best.selectExpr(*key, "best.chance / total as probability", "best.family as family")
     best = best.selectExpr(
-        "doc_id", "k", "line", "best.probability", f"if(best.probability > {model.limit!r}D, best.family, '{NONE}') as family"
+        *key, "probability", f"if(probability > {model.limit!r}D, family, '{NONE}') as family"
     )
     match = F.lit(False)
     for family, some in TEMPLATES.items():

@@ -2,7 +2,7 @@
 
 A line is the set of its words. Each word has a rank by its frequency over all documents, counted in a table of fixed
 size; two sets of Jaccard 0.8 share a word among the rarest of each (the prefix). Sets meet under their prefix words; a
-pair is a candidate only if lengths and positions leave room for the overlap, and its whole sets are compared.
+pair is a candidate only if lengths, positions and a 64-bit map of the words leave room for the overlap, and its whole sets are compared.
 
 First each set is tried against the first one under each of its words, which settles groups of near copies with one
 link a line; the rest is then tried against all earlier sets. A very frequent word is cut into pairs of parts.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from flowsight.llm import text as T
 from flowsight.llm.runs import map_runs, split_hot
-from flowsight.session import scratch_folder
+from flowsight.session import broadcast_if_small, scratch_folder
 
 MIN_WORDS = 5
 COUNTERS = 1 << 20
@@ -90,13 +90,15 @@ def line_sets(rows: DataFrame, counts) -> DataFrame:
             # hashes stand in order within a line, so their mixed sum names the set
             sums = np.concatenate([[np.uint64(0)], np.cumsum(T.mix(hashes + T.BASE), dtype=np.uint64)])
             names = T.mix(sums[offsets[1:]] - sums[offsets[:-1]] + sizes[use].astype(np.uint64))
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (T.mix(hashes) >> np.uint64(58)), offsets[:-1])
             order = np.lexsort((hashes, frequency[(hashes % np.uint64(COUNTERS)).astype(np.int64)], line))
             words = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes[order].view(np.int64)))
             rows_at = pa.array(text[use] + at)
-            columns = [ids.take(rows_at), ks.take(rows_at), pa.array(number[use]), pa.array(names.view(np.int64)), words]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k", "line", "set_id", "words"])
+            columns = [ids.take(rows_at), ks.take(rows_at), pa.array(number[use]), pa.array(names.view(np.int64))]
+            columns += [pa.array(bits.view(np.int64)), words]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k", "line", "set_id", "bits", "words"])
 
-    return T.map_batches(rows, make, _KEYED + "line long, set_id long, words array<long>")
+    return T.map_batches(rows, make, _KEYED + "line long, set_id long, bits long, words array<long>")
 
 
 def _room(table: dict, one, many: slice) -> np.ndarray:
@@ -104,6 +106,9 @@ def _room(table: dict, one, many: slice) -> np.ndarray:
     n, m = table["n"][one], table["n"][many]
     i, j = table["pos"][one], table["pos"][many]
     most = np.minimum(i, j) + 1 + np.minimum(n - i, m - j) - 1
+    # a bit of one set that the other lacks is a word that they do not share
+    x, y = table["bits"][one].view(np.uint64), table["bits"][many].view(np.uint64)
+    most = np.minimum(most, np.minimum(n - np.bitwise_count(x & ~y), m - np.bitwise_count(y & ~x)))
     return (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * most >= 4 * (n + m))
 
 
@@ -141,18 +146,20 @@ def _kept_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = _keyed(docs, id_col, text_col)
     counts = spark.sparkContext.broadcast(_word_counts(rows))
     # one row per distinct set, at its first line
-    sets = line_sets(rows, counts).groupBy("set_id").agg(F.min(F.struct(*ORDER)).alias("at"), F.first("words").alias("words"))
-    sets.select("set_id", "at.*", "words").write.parquet(f"{folder}/sets")
+    sets = line_sets(rows, counts).groupBy("set_id").agg(
+        F.min(F.struct(*ORDER)).alias("at"), F.first("bits").alias("bits"), F.first("words").alias("words")
+    )
+    sets.select("set_id", "at.*", "bits", "words").write.parquet(f"{folder}/sets")
     sets = spark.read.parquet(f"{folder}/sets")
 
     prefix = "slice(words, 1, size(words) - (4 * size(words) + 4) div 5 + 1)"
-    heads = sets.selectExpr(*ORDER, "set_id", "cast(size(words) as bigint) as n", f"posexplode({prefix}) as (pos, word)")
+    heads = sets.selectExpr(*ORDER, "set_id", "bits", "cast(size(words) as bigint) as n", f"posexplode({prefix}) as (pos, word)")
     heads = split_hot(heads, "word", "set_id", WORD_ROWS)
     pair, keys = "later long, earlier long", ["word", "a", "b"]
     order = [*ORDER, "set_id"]
     _alike(map_runs(heads, keys, order, _first_links, pair), sets).write.parquet(f"{folder}/first")
     settled = spark.read.parquet(f"{folder}/first")
-    marked = heads.join(settled.withColumn("settled", F.lit(True)), "set_id", "left")
+    marked = heads.join(broadcast_if_small(settled.withColumn("settled", F.lit(True))), "set_id", "left")
     marked = marked.withColumn("settled", F.coalesce("settled", F.lit(False)))
     _alike(map_runs(marked, keys, order, _all_links, pair), sets).write.parquet(f"{folder}/rest")
     gone = settled.union(spark.read.parquet(f"{folder}/rest"))

@@ -11,6 +11,7 @@ from flowsight.llm.packing import op6_packing
 from flowsight.llm.personal import op1_personal_data
 from flowsight.llm.quality import op7_repetition
 from flowsight.llm.simhash import op5_simhash
+from flowsight.llm.suffixes import op8_suffix_dedup
 
 QUERIES = {
     "op1_personal_data": op1_personal_data,
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op7_repetition": op7_repetition,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_archive": op9_token_archive,
     "op10_line_dedup": op10_line_dedup,
 }

@@ -26,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsight.llm import text as T
-from flowsight.session import scratch_folder
+from flowsight.session import broadcast_if_small, scratch_folder
 
 LENGTH = 400
 CLASSES = 1_000
-BATCH_BYTES = 1_000_000
+BATCH_BYTES = 500_000
+SLAB_BYTES = 400_000
 _LOW32 = np.uint64(0xFFFFFFFF)
 _SYMBOLS = 7
 
@@ -84,7 +85,7 @@ def _sort(data: np.ndarray, offsets: np.ndarray, longest: int) -> tuple[np.ndarr
         change[1:] = keys[order][1:] != keys[order][:-1]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(change)
-        levels.append((depth, rank))
+        levels.append((depth, rank.astype(np.int32)))
         if depth > longest or rank[order[-1]] == n - 1:
             return symbols, levels
         follow = np.zeros(n, np.int64)
@@ -242,7 +243,7 @@ def _found(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[Da
 
     def anchors(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = batch.column("r").to_numpy(zero_copy_only=False)
-        for start, _, slab in T.slabs(batch.column("text")):
+        for start, _, slab in T.slabs(batch.column("text"), SLAB_BYTES):
             h, f1, f2, text, place, strings = _fragments(slab, length)
             columns = [h, f1, f2, rows[start + text], place, strings]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "f1", "f2", "r", "place", "strings"])
@@ -260,14 +261,21 @@ def _found(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[Da
     schema = "h long, f1 long, f2 long, r long, place long, strings long"
     T.map_batches(rows.select("r", "text"), anchors, schema).write.parquet(f"{folder}/places")
     places = spark.read.parquet(f"{folder}/places")
-    classes = places.groupBy("h", "f1", "f2").agg(
+    # an anchor at one place alone holds no repeat; the places of the others are few
+    spot = F.xxhash64("r", "place")
+    several = places.groupBy("h").agg(F.min(spot).alias("one"), F.max(spot).alias("other")).where("one <> other")
+    classes = places.join(several.select("h"), "h").groupBy("h", "f1", "f2").agg(
         F.min(F.struct("r", "place")).alias("one"), F.max(F.struct("r", "place")).alias("other"),
         F.first("strings").alias("strings"),
     ).selectExpr("h", "f1", "f2", "one.r", "one.place", "strings", "one <> other as repeated")
-    several = classes.groupBy("h").agg(F.count("*").alias("n"), F.max("repeated").alias("any"))
-    several = several.where("n > 1 or any").selectExpr("h", f"n > {CLASSES} as crowded")
-    wanted = classes.join(several, "h").groupBy("r").agg(
-        F.collect_list(F.struct("h", "f1", "f2", "repeated", "crowded", "place", "strings")).alias("wanted")
+    classes.write.parquet(f"{folder}/classes")
+    classes = spark.read.parquet(f"{folder}/classes")
+    crowded = classes.groupBy("h").agg(F.count("*").alias("n")).where(f"n > {CLASSES}")
+    crowded = broadcast_if_small(crowded.selectExpr("h", "true as crowded"))
+    wanted = classes.join(crowded, "h", "left").groupBy("r").agg(
+        F.collect_list(
+            F.expr("struct(h, f1, f2, repeated, coalesce(crowded, false) as crowded, place, strings)")
+        ).alias("wanted")
     )
     body_schema = "h long, f1 long, f2 long, repeated boolean, crowded boolean, body binary"
     T.map_batches(rows.select("r", "text").join(wanted, "r"), bodies, body_schema).write.parquet(f"{folder}/bodies")
@@ -306,7 +314,7 @@ def maximal_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
 
 def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     spans = batch.column("spans")
-    for start, to, slab in T.slabs(batch.column("text")):
+    for start, to, slab in T.slabs(batch.column("text"), SLAB_BYTES):
         part = spans.slice(start, to - start)
         lengths = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         flat, base = part.flatten(), np.repeat(slab.offsets[:-1], lengths)

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -201,6 +202,18 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
             [*keys, *(pa.array(c) for c in columns)], ["f1", "f2", "at", "to", "repeat", "parent", "parent_length"]
         )
 
+    def pieces(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Answers for runs of whole anchors of about ``BATCH_BYTES``: an Arrow batch may hold many of them."""
+        h = table.column("h").to_numpy()
+        edges = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h))
+        ends = np.cumsum(pa.compute.binary_length(table.column("body")).to_numpy().astype(np.int64))
+        at = 0
+        while at < len(h):
+            to = np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES)
+            to = int(edges[min(np.searchsorted(edges, max(to, at + 1)), len(edges) - 1)])
+            yield answer(table.slice(at, to - at))
+            at = to
+
     with np.errstate(over="ignore"):
         for batch in batches:
             if not batch.num_rows:
@@ -213,12 +226,12 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
             h = table.column("h").to_numpy()
             cut = int(np.searchsorted(h, h[-1]))
             if cut:
-                yield answer(table.slice(0, cut))
+                yield from pieces(table.slice(0, cut))
                 # copied, so that the rows answered are let go
                 held = table.slice(cut).take(pa.array(np.arange(len(h) - cut))).to_batches()
                 held_bytes = sum(b.nbytes for b in held)
         if held:
-            yield answer(pa.Table.from_batches(held))
+            yield from pieces(pa.Table.from_batches(held))
 
 
 def _strings(batch: pa.RecordBatch, length: int) -> Iterator[pa.RecordBatch]:

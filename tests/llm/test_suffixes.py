@@ -39,6 +39,7 @@ def test_against_brute_force(spark, monkeypatch, length, classes):
     from flowsight.llm import suffixes
 
     monkeypatch.setattr(suffixes, "CLASSES", classes)
+    monkeypatch.setattr(suffixes, "BATCH_BYTES", 3_000)
     rows = table(random.Random(3), length)
     docs = spark.createDataFrame([(*x, 0) for x in rows], "doc_id long, text string, r int")
     found = sorted(((a, b, c, d, bytes(e)) for a, b, c, d, e in suffixes.remove_repeats(docs, length).collect()), key=str)

@@ -277,8 +277,10 @@ def _found(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[Da
     # an anchor at one place alone holds no repeat; the places of the others are few
     spot = F.xxhash64("r", "place")
     several = places.groupBy("h").agg(F.min(spot).alias("one"), F.max(spot).alias("other")).where("one <> other")
-    # not grouped by h as well: the join on a hot h can then be split, and its rows are combined before the next shuffle
-    classes = places.join(several.select("h"), "h").groupBy("f1", "f2").agg(
+    several.select("h").write.parquet(f"{folder}/several")
+    several = spark.read.parquet(f"{folder}/several")
+    # joined to a table and not grouped by h again, so that the join on a hot h can be split
+    classes = places.join(several, "h").groupBy("f1", "f2").agg(
         F.first("h").alias("h"),
         F.min(F.struct("r", "place")).alias("one"), F.max(F.struct("r", "place")).alias("other"),
         F.first("strings").alias("strings"),

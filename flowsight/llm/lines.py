@@ -7,7 +7,9 @@ pair is a candidate only if lengths, positions and a 64-bit map of the words lea
 First each set is tried against the first one under each of its words, which settles groups of near copies with one
 link a line; the rest is then tried against all earlier sets. A very frequent word is cut into pairs of parts.
 
-Lines are separated by ``\\n``; those of fewer than ``MIN_WORDS`` distinct words always stay. "Earlier" is by doc_id
+Lines are separated by ``\\n``; those of fewer than ``min_words`` distinct words always stay. The query and the pipeline
+compare every line with a word (``min_words=1``): up to three words 0.8 means equal sets, which one grouping by set_id
+finds without the join. "Earlier" is by doc_id
 (null first), then the hash of the text, then the line number. Rows of equal doc_id and text are one document and
 get the same answer. Null text has no lines and stays null. Sets are judged on the input, not on what is left.
 """
@@ -27,6 +29,8 @@ from flowsight.llm.runs import map_runs, split_hot
 from flowsight.session import broadcast_if_small, scratch_folder
 
 MIN_WORDS = 5
+# sets of fewer words are alike only if equal
+JOIN_WORDS = 4
 COUNTERS = 1 << 20
 WORD_ROWS = 20_000
 ORDER = ["doc_id", "k", "line"]
@@ -72,8 +76,8 @@ def _line_sets(slab: T.Slab) -> tuple[np.ndarray, ...]:
     return text, number, hashes[new], line[new]
 
 
-def line_sets(rows: DataFrame, counts) -> DataFrame:
-    """Every line of ``MIN_WORDS`` words or more: doc_id, k, line, set_id, words (rarest first)."""
+def line_sets(rows: DataFrame, counts, min_words: int = MIN_WORDS) -> DataFrame:
+    """Every line of ``min_words`` distinct words or more: doc_id, k, line, set_id, words (rarest first)."""
 
     def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         frequency = counts.value
@@ -81,7 +85,7 @@ def line_sets(rows: DataFrame, counts) -> DataFrame:
         for at, _, slab in T.slabs(texts):
             text, number, hashes, line = _line_sets(slab)
             sizes = np.bincount(line, minlength=len(text))
-            use = sizes >= MIN_WORDS
+            use = sizes >= max(1, min_words)
             if not use.any():
                 continue
             ok = use[line]
@@ -140,20 +144,20 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select(F.col("later").alias("set_id")).distinct()
 
 
-def _kept_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _kept_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(doc_id, k, kept): the numbers of the compared lines that stay."""
     spark, folder = docs.sparkSession, scratch_folder(docs.sparkSession)
     rows = _keyed(docs, id_col, text_col)
     counts = spark.sparkContext.broadcast(_word_counts(rows))
     # one row per distinct set, at its first line
-    sets = line_sets(rows, counts).groupBy("set_id").agg(
+    sets = line_sets(rows, counts, min_words).groupBy("set_id").agg(
         F.min(F.struct(*ORDER)).alias("at"), F.first("bits").alias("bits"), F.first("words").alias("words")
     )
     sets.select("set_id", "at.*", "bits", "words").write.parquet(f"{folder}/sets")
     sets = spark.read.parquet(f"{folder}/sets")
 
     prefix = "slice(words, 1, size(words) - (4 * size(words) + 4) div 5 + 1)"
-    heads = sets.selectExpr(*ORDER, "set_id", "bits", "cast(size(words) as bigint) as n", f"posexplode({prefix}) as (pos, word)")
+    heads = sets.where(f"size(words) >= {JOIN_WORDS}").selectExpr(*ORDER, "set_id", "bits", "cast(size(words) as bigint) as n", f"posexplode({prefix}) as (pos, word)")
     heads = split_hot(heads, "word", "set_id", WORD_ROWS)
     pair, keys = "later long, earlier long", ["word", "a", "b"]
     order = [*ORDER, "set_id"]
@@ -167,7 +171,7 @@ def _kept_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return kept.groupBy("doc_id", "k").agg(F.collect_list("line").alias("kept"))
 
 
-def _apply(texts: pd.Series, kept: pd.Series) -> pd.DataFrame:
+def _apply(texts: pd.Series, kept: pd.Series, min_words: int) -> pd.DataFrame:
     out = []
     for text, stay in zip(texts, kept, strict=True):
         if text is None:
@@ -178,28 +182,30 @@ def _apply(texts: pd.Series, kept: pd.Series) -> pd.DataFrame:
         with np.errstate(over="ignore"):
             _, _, slab = next(T.slabs(pa.array([text])))
             sizes = np.bincount(_line_sets(slab)[3], minlength=len(lines))
-        left = [x for i, x in enumerate(lines) if sizes[i] < MIN_WORDS or i in stay]
+        left = [x for i, x in enumerate(lines) if sizes[i] < max(1, min_words) or i in stay]
         out.append(("\n".join(left), len(lines), len(lines) - len(left)))
     return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
 
 
-_apply.__annotations__ = {"texts": pd.Series, "kept": pd.Series, "return": pd.DataFrame}
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` as a struct ``row`` with its new ``text``, ``n_lines`` and ``n_removed`` in a struct ``lines``."""
 
+    def apply(texts, kept):
+        return _apply(texts, kept, min_words)
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` as a struct ``row`` with its new ``text``, ``n_lines`` and ``n_removed`` in a struct ``lines``."""
-    cut = F.pandas_udf(_apply, "text string, n_lines long, n_removed long")
+    apply.__annotations__ = {"texts": pd.Series, "kept": pd.Series, "return": pd.DataFrame}
+    cut = F.pandas_udf(apply, "text string, n_lines long, n_removed long")
     body, key = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")
     rows = docs.select(F.struct("*").alias("row"), key.alias("doc_id"), F.xxhash64(body).alias("k"), body.alias("body"))
     found = rows.alias("d").join(
-        _kept_lines(docs, id_col, text_col).alias("s"), F.expr("d.doc_id <=> s.doc_id and d.k = s.k"), "left"
+        _kept_lines(docs, id_col, text_col, min_words).alias("s"), F.expr("d.doc_id <=> s.doc_id and d.k = s.k"), "left"
     )
     return found.select("row", cut(F.col("body"), F.col("kept")).alias("lines"))
 
 
-def replace_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def replace_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the remaining lines as text; a row that loses its every word goes, others stay."""
-    found = dedup_lines(docs, id_col, text_col)
+    found = dedup_lines(docs, id_col, text_col, min_words)
     found = found.where(r"lines.n_removed = 0 or regexp_like(lines.text, '[^\\x20\\x09-\\x0D]')")
     same = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     at = docs.columns.index(text_col)
@@ -208,7 +214,7 @@ def replace_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
-    found = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_words=1)
     return found.selectExpr(
         "row.doc_id", "lines.n_lines", "lines.n_removed", "sha2(coalesce(lines.text, ''), 256) as kept_sha256"
     )

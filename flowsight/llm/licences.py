@@ -1,7 +1,7 @@
 """Licence scans: a sparse word n-gram logistic regression names the licence family of each paragraph.
 
-A paragraph is a line with a word that begins with one of ``STEMS``; the licence texts taught here all have one. The
-model is fitted on the driver on a small table of sentences (bounded by ``MAX_SENTENCES``); its weights are a table of
+A paragraph is a line that shares a word or pair of words with the model's table, or a sentence wrapped over several
+lines of a block that names a family; the lines of such a sentence that name no family or the same are part of it. Blank lines end a block. The model is fitted on the driver on a small table of sentences (bounded by ``MAX_SENTENCES``); its weights are a table of
 (n-gram, weight per family) with at most one row per n-gram of that table, so broadcasting it is bounded by the training
 table and not by the corpus. Scoring is a join and a sum. The class "none" and a probability limit, set on held-out sentences so that none of
 no family is accepted, make up the unknown class. A family is confirmed if most word pairs of one of its templates stand
@@ -20,7 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STEMS = "licen|copyright|permission|redistribut|warrant|spdx"
+from flowsight.session import scratch_folder
+
 MAX_SENTENCES = 5_000
 CONFIRM = 0.8
 NONE = "none"
@@ -53,6 +54,10 @@ def training_table() -> list[tuple[str, str]]:
         "all rights reserved {} copyright 2020", "copyright 2021 {} company", "permission to enter the {} hall was denied",
         "the {} warranty ends after two years", "released under the old {} license", "licensed under the {} contract version 2.0",
     ]
+    # words of the names that are also words of other sentences or languages: alone they name no family
+    single = ["mit", "by", "cc", "cc by", "apache", "gnu", "mozilla", "bsd", "creative", "general public", "version 2.0", "software"]
+    common = ["{}", "{} und", "nicht {} und", "{} the river", "a word and {}"]
+    rows += [(p.format(t), NONE) for p, t in product(common, single)]
     return rows + [(p.format(t), NONE) for p, t in product(plain, things)]
 
 
@@ -123,50 +128,85 @@ def default_model() -> Model:
     return Model(training_table())
 
 
-def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """One row per licence paragraph: doc_id, k, line, paragraph, family ("none" if unknown), probability, confirmed."""
-    model = model or default_model()
-    spark = docs.sparkSession
+def _units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, k, row, line, last, paragraph: every line, and every sentence that is wrapped over lines ``line`` to ``last``."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    stem = rf"(?i)\\b({STEMS})"
-    lines = rows.where(f"text rlike '{stem}'").selectExpr(
-        "doc_id", "xxhash64(text) as k", r"posexplode(split(text, '\n')) as (line, paragraph)"
+    rows = rows.where("text is not null").selectExpr("doc_id", "xxhash64(text) as k", "text")
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    # line numbers are written into the text, so that the pieces between full stops and blank lines tell theirs
+    lines = "split(translate(text, '\x01\x02', '  '), '\n')"
+    rows = rows.selectExpr("doc_id", "k", "row", f"{lines} as lines")
+    number = "concat('\x01', i, '\x02', trim(TRAILING ' \t\r' FROM x))"
+    cut = "(?<=[.!?:;][ \t\n])|(?<=\x02\n)|(?=\n\x01[0-9]{1,10}\x02(?:\n|$))"
+    rows = rows.selectExpr(
+        "*", f"split(array_join(transform(lines, (x, i) -> {number}), '\n'), '{cut}') as pieces"
     )
-    lines = lines.where(f"paragraph rlike '{stem}'").withColumn("words", F.expr(_words("paragraph")))
-    grams = lines.selectExpr("doc_id", "k", "line", "words", f"{_grams('words')} as grams").distinct()
-    each = grams.selectExpr("doc_id", "k", "line", "size(grams) as n", "explode(grams) as gram")
+    wrapped = "filter(pieces, p -> p rlike '[^\x02\n]\n\x01[0-9]+\x02[^\n]')"
+    marks = "transform(regexp_extract_all(p, '\x01([0-9]+)\x02', 1), m -> int(m))"
+    first = f"element_at({marks}, 1) - if(startswith(p, '\x01'), 0, 1)"
+    sentence = "trim(regexp_replace(p, '\n?\x01[0-9]+\x02', ' '))"
+    each = f"transform({wrapped}, p -> struct({first} as line, element_at({marks}, -1) as last, {sentence} as paragraph))"
+    alone = "transform(lines, (x, i) -> struct(i as line, i as last, x as paragraph))"
+    return rows.selectExpr("doc_id", "k", "row", f"inline(concat({alone}, {each}))")
+
+
+def _families(docs: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:
+    """doc_id, k, line, last, family, probability, confirmed of every paragraph."""
+    spark = docs.sparkSession
+    units = _units(docs, id_col, text_col).withColumn("words", F.expr(_words("paragraph"))).where("size(words) > 0")
+    grams = units.selectExpr("doc_id", "k", "row", "line", "last", f"{_grams('words')} as grams")
+    each = grams.selectExpr("doc_id", "k", "row", "line", "last", "size(grams) as n", "explode(grams) as gram")
 
     names = [f"f{i}" for i in range(len(model.families))]
-    known = [(g, *model.weights[i].tolist()) for g, i in model.index.items()]
-    table = F.broadcast(spark.createDataFrame(known, "gram string, " + ", ".join(f"{n} double" for n in names)))
-    sums = [f"coalesce(sum({n}), 0D) / sqrt(max(n)) + {float(b)!r}D as {n}" for n, b in zip(names, model.bias, strict=True)]
-    scored = each.join(table, "gram", "left").groupBy("doc_id", "k", "line").agg(*[F.expr(s) for s in sums])
-    key = ["doc_id", "k", "line"]
-    scored = scored.selectExpr(*key, *names, f"greatest({', '.join(names)}) as most")
-    scored = scored.selectExpr(*key, *[f"exp(({n} - most) / {model.temperature!r}D) as {n}" for n in names])
-    scored = scored.selectExpr(*key, *names, f"{' + '.join(names)} as total")
+    templates = [(family, t.split()) for family, some in TEMPLATES.items() for t in some]
+    pairs = [{" ".join(words[i : i + 2]) for i in range(len(words) - 1)} for _, words in templates]
+    marks = [f"t{i}" for i in range(len(pairs))]
+    zero = [0.0] * len(names)
+    known = [
+        (g, *(model.weights[model.index[g]].tolist() if g in model.index else zero), *[int(g in p) for p in pairs])
+        for g in sorted(set(model.index).union(*pairs))
+    ]
+    columns = ["gram string", *[f"{n} double" for n in names], *[f"{m} int" for m in marks]]
+    table = F.broadcast(spark.createDataFrame(known, ", ".join(columns)))
+    sums = [f"sum({n}) / sqrt(max(n)) + {float(b)!r}D as {n}" for n, b in zip(names, model.bias, strict=True)]
+    # the words and pairs of a paragraph are distinct, so a sum of marks counts the pairs of the template in it
+    hits = [f"sum({m}) as {m}" for m in marks]
+    key = ["doc_id", "k", "line", "last"]
+    scored = each.join(table, "gram").groupBy("row", *key).agg(*[F.expr(x) for x in sums + hits])
+    scored = scored.selectExpr(*key, *names, *marks, f"greatest({', '.join(names)}) as most")
+    scored = scored.selectExpr(*key, *marks, *[f"exp(({n} - most) / {model.temperature!r}D) as {n}" for n in names])
+    scored = scored.selectExpr(*key, *marks, *names, f"{' + '.join(names)} as total")
     chances = [f"struct({n} as chance, '{f}' as family)" for n, f in zip(names, model.families, strict=True) if f != NONE]
-    best = scored.selectExpr(*key, "total", f"array_max(array({', '.join(chances)})) as best")
-    best = best.selectExpr(*key, "best.chance / total as probability", "best.family as family")
-    best = best.selectExpr(
-        *key, "probability", f"if(probability > {model.limit!r}D, family, '{NONE}') as family"
+    best = scored.selectExpr(*key, *marks, "total", f"array_max(array({', '.join(chances)})) as best")
+    best = best.selectExpr(*key, *marks, "best.chance / total as probability", "best.family as family")
+    best = best.withColumn("family", F.expr(f"if(probability > {model.limit!r}D, family, '{NONE}')"))
+    match = " or ".join(
+        f"family = '{family}' and {m} >= {CONFIRM * len(p)!r}D"
+        for (family, _), m, p in zip(templates, marks, pairs, strict=True)
     )
-    match = F.lit(False)
-    for family, some in TEMPLATES.items():
-        for template in some:
-            words = template.split()
-            pairs = F.array(*[F.lit(" ".join(words[i : i + 2])) for i in range(len(words) - 1)])
-            share = F.size(F.array_intersect(F.expr(_grams("words")), pairs)) / F.size(F.array_distinct(pairs))
-            match = match | ((F.col("family") == family) & (share >= CONFIRM))
-    same = F.expr("l.doc_id <=> b.doc_id and l.k = b.k and l.line = b.line")
-    found = lines.distinct().alias("l").join(best.alias("b"), same)
-    found = found.select("l.doc_id", "l.k", "l.line", "l.paragraph", "l.words", "b.family", "b.probability")
-    return found.withColumn("confirmed", match).drop("words")
+    best = best.selectExpr(*key, "family", "probability", f"{match} as confirmed")
+    # a wrapped sentence counts only if it names a family; written once, as it is read twice below
+    folder = scratch_folder(spark)
+    best.where(f"line = last or family <> '{NONE}'").dropDuplicates(key).write.parquet(f"{folder}/families")
+    best = spark.read.parquet(f"{folder}/families")
+    lines, wrapped = best.where("line = last"), best.where("line < last")
+    same = "l.doc_id <=> w.doc_id and l.k = w.k and l.line between w.line and w.last"
+    part = F.expr(f"{same} and l.family in ('{NONE}', w.family)")
+    return lines.alias("l").join(wrapped.alias("w"), part, "left_anti").union(wrapped)
+
+
+def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
+    """One row per licence paragraph: doc_id, k, line, paragraph, family ("none" if unknown), probability, confirmed."""
+    found = _families(docs, id_col, text_col, model or default_model())
+    units = _units(docs, id_col, text_col).dropDuplicates(["doc_id", "k", "line", "last"])
+    same = F.expr("u.doc_id <=> b.doc_id and u.k = b.k and u.line = b.line and u.last = b.last")
+    found = units.alias("u").join(found.alias("b"), same)
+    return found.select("b.doc_id", "b.k", "b.line", "u.paragraph", "b.family", "b.probability", "b.confirmed")
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_paragraphs, n_unknown, n_confirmed and ``families``, comma-joined."""
-    found = licence_paragraphs(docs, id_col, text_col, model).groupBy("doc_id", "k").agg(
+    found = _families(docs, id_col, text_col, model or default_model()).groupBy("doc_id", "k").agg(
         F.count("*").alias("n_paragraphs"),
         F.count_if(F.col("family") == NONE).alias("n_unknown"),
         F.count_if("confirmed").alias("n_confirmed"),

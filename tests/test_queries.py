@@ -49,4 +49,6 @@ def test_entry_has_rows(spark):
 
 def test_names_and_sql_agree():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert not [n for n in entry.queries() if n.startswith("op") and n[2:3].isdigit()]
+    numbered = {n for n in entry.queries() if n.startswith("op") and n[2:3].isdigit()}
+    assert numbered == set(entry.LLM_QUERIES)
+    assert set(entry.queries()) - set(entry.QUERIES) - numbered == set(entry.PIPELINE)

@@ -10,6 +10,7 @@ from flowsight.llm.lines import op10_line_dedup
 from flowsight.llm.packing import op6_packing
 from flowsight.llm.personal import op1_personal_data
 from flowsight.llm.quality import op7_repetition
+from flowsight.llm.resampling import op11_resampling
 from flowsight.llm.simhash import op5_simhash
 from flowsight.llm.suffixes import op8_suffix_dedup
 
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_archive": op9_token_archive,
     "op10_line_dedup": op10_line_dedup,
+    "op11_resampling": op11_resampling,
 }
 ORACLES: dict[str, str] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from flowsight.llm.alignment import op12_alignment
 from flowsight.llm.anchors import op4_substring_dedup
 from flowsight.llm.archive import op9_token_archive
 from flowsight.llm.contamination import op3_decontamination
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_token_archive": op9_token_archive,
     "op10_line_dedup": op10_line_dedup,
     "op11_resampling": op11_resampling,
+    "op12_alignment": op12_alignment,
 }
 ORACLES: dict[str, str] = {}

@@ -17,6 +17,7 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsight.llm import text as T
+from flowsight.llm.vocabulary import gather, unit_encoder
 from flowsight.session import at_most, scratch_folder
 
 CHUNK_BYTES = 1_000_000
 BLOCK = 4_000_000
+MARKS = ",|;"
 # a pair of ids, its count and a flag: under 64 bytes a row in a broadcast hash table
 PAIR_ROWS = 1_000_000
 
@@ -105,13 +108,8 @@ class ByteTokens:
     """Byte-level BPE of the ``tokenizers`` library; special strings inside texts are plain text."""
 
     def __init__(self, path: str) -> None:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.encoder = unit_encoder(path, plain=True)
+        self.model = self.encoder.model
         size = self.model.get_vocab_size()
         byte_of = _byte_characters()
         self.bytes = [b""] * size
@@ -122,10 +120,18 @@ class ByteTokens:
 
     def _finish(self) -> None:
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
-        self.text = [str(i) for i in range(len(self.bytes))]
+        self.raw = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.raw_at = np.cumsum(self.lengths) - self.lengths
+        # every id as text before each of the marks , | ;
+        self.text = np.array([f"{i}{mark}" for mark in MARKS for i in range(len(self.bytes))], object)
+
+    def encode(self, texts: list[str], data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end and the first id of each (with the end); ``data``: space + text of all."""
+        return self.encoder.encode(data, offsets)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    def spelt(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all tokens, end to end."""
+        return self.raw[gather(self.raw_at[ids], self.lengths[ids])]
 
 
 class PieceTokens(ByteTokens):
@@ -141,8 +147,11 @@ class PieceTokens(ByteTokens):
         ]
         self._finish()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encode(self, texts: list[str], data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = self.model.encode(texts, num_threads=1) if texts else []
+        first = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum([len(f) for f in found], out=first[1:])
+        return np.fromiter(chain.from_iterable(found), np.int64, int(first[-1])), first
 
 
 def _byte_characters() -> dict[str, int]:
@@ -165,26 +174,39 @@ class Aligned:
     """Both tokenisations of a run of texts with their groups; only texts that both spell out take part."""
 
     def __init__(self, texts: list[str], a: ByteTokens, b: ByteTokens) -> None:
-        want = [b" " + t.encode() for t in texts]
-        sides = [s.encode(texts) if texts else [] for s in (a, b)]
-        spelt = [
-            [b"".join(map(s.bytes.__getitem__, ids)) == w for ids, w in zip(side, want, strict=True)]
-            for s, side in zip((a, b), sides, strict=True)
-        ]
-        self.kept = np.array([bool(t) and x and y for t, x, y in zip(texts, *spelt, strict=True)], bool)
+        body = [b" " + t.encode() for t in texts]
+        offsets = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum([len(x) for x in body], out=offsets[1:])
+        data = np.frombuffer(b"".join(body), np.uint8)
+        sides = [s.encode(texts, data, offsets) for s in (a, b)]
+        self.kept = np.diff(offsets) > 1
+        for s, (ids, first) in zip((a, b), sides, strict=True):
+            self.kept &= self._spells(s, ids, first, data, offsets)
         self.ids, self.bounds, self.first = [], [], []
-        for s, side in zip((a, b), sides, strict=True):
-            held = [ids for ids, k in zip(side, self.kept, strict=True) if k]
-            self.first.append(np.concatenate([[0], np.cumsum([len(i) for i in held])]).astype(np.int64))
-            ids = np.array([i for some in held for i in some], np.int64)
+        for s, (ids, first) in zip((a, b), sides, strict=True):
+            counts = np.diff(first)
+            ids = ids[np.repeat(self.kept, counts)].astype(np.int64)
             self.ids.append(ids)
+            self.first.append(np.concatenate([[0], np.cumsum(counts[self.kept])]))
             self.bounds.append(np.concatenate([[0], np.cumsum(s.lengths[ids])]))
-        size = int(self.bounds[0][-1])
-        ends = np.zeros(size + 1, np.int8)
+        ends = np.zeros(int(self.bounds[0][-1]) + 1, np.int8)
         for bound in self.bounds:
             ends[bound[1:]] += 1
         self.cuts = np.flatnonzero(ends == 2)
         self.text_ends = self.bounds[0][self.first[0][1:]]
+        self.groups = [self._group_incidence(side) for side in (0, 1)]
+
+    @staticmethod
+    def _spells(s: ByteTokens, ids: np.ndarray, first: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Per text, whether the bytes of its tokens are its own bytes."""
+        sizes = np.concatenate([[0], np.cumsum(s.lengths[ids])])[first]
+        fine = np.diff(sizes) == np.diff(offsets)
+        some = ids if fine.all() else ids[np.repeat(fine, np.diff(first))]
+        want = data if fine.all() else data[np.repeat(fine, np.diff(offsets))]
+        wrong = np.concatenate([[0], np.cumsum(s.spelt(some) != want)])
+        at = np.concatenate([[0], np.cumsum(np.diff(offsets)[fine])])
+        fine[fine] = wrong[at[1:]] == wrong[at[:-1]]
+        return fine
 
     def overlaps(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A token, B token and shared bytes of every overlap link: the product of A by bytes and bytes by B."""
@@ -193,18 +215,18 @@ class Aligned:
         none = np.zeros(0, np.int64)
         return tuple(np.concatenate([p[i] for p in parts]) if parts else none for i in range(3))
 
-    def group_incidence(self, side: int) -> Csr:
+    def _group_incidence(self, side: int) -> Csr:
         """Groups by tokens of one side: a token lies in exactly one group."""
-        ptr = np.concatenate([[0], np.searchsorted(self.bounds[side][1:], self.cuts, "right")]).astype(np.int64)
-        return incidence(ptr)
+        ends = np.searchsorted(self.bounds[side], self.cuts)
+        return incidence(np.concatenate([[0], ends]))
 
     def shared_groups(self, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Blocks of (A token, B token, 1) of all pairs in a common group: tokens by groups times groups by tokens."""
-        return product_blocks(self.group_incidence(0).transpose(), self.group_incidence(1), block)
+        return product_blocks(self.groups[0].transpose(), self.groups[1], block)
 
     def group_links(self) -> np.ndarray:
         """How many B tokens each A token shares its group with, without the pairs themselves."""
-        return self.group_incidence(0).transpose().times(np.diff(self.group_incidence(1).indptr))
+        return self.groups[0].transpose().times(np.diff(self.groups[1].indptr))
 
     def texts_of(self, side: int) -> np.ndarray:
         """Number among the kept texts of every token of one side."""
@@ -212,23 +234,17 @@ class Aligned:
 
     def spelled_groups(self, a: ByteTokens, b: ByteTokens) -> list[str]:
         """``a1,a2|b1;a3|b2,b3`` of every kept text."""
-        marks = [",", "|", ",", ";"]
-        sizes = [np.diff(self.group_incidence(s).indptr) for s in (0, 1)]
-        total = len(self.ids[0]) + len(self.ids[1])
-        # tokens of a group stand together, those of A first, each followed by a comma but for the last of its side
-        ends = np.cumsum(sizes[0] + sizes[1])
-        parts = np.empty(2 * total, object)
+        sizes = [np.diff(g.indptr) for g in self.groups]
+        # tokens of a group stand together, those of A first, each before a comma but for the last of its side
+        begin = np.cumsum(sizes[0] + sizes[1]) - sizes[0] - sizes[1]
+        parts = np.empty(len(self.ids[0]) + len(self.ids[1]), object)
         for side, s in ((0, a), (1, b)):
-            at = np.arange(len(self.ids[side])) + np.repeat(
-                (ends - sizes[0] - sizes[1] + side * sizes[0]) - (np.cumsum(sizes[side]) - sizes[side]), sizes[side]
-            )
-            parts[2 * at] = np.array(s.text, object)[self.ids[side]]
-            parts[2 * at + 1] = marks[2 * side]
-            last = (ends - sizes[1] if side == 0 else ends) - 1
-            parts[2 * last + 1] = marks[2 * side + 1]
-        bounds = 2 * (self.first[0] + self.first[1])
-        flat = parts.tolist()
-        return ["".join(flat[x : y - 1]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            at = gather(begin + side * sizes[0], sizes[side])
+            mark = np.zeros(len(at), np.int64)
+            mark[self.groups[side].indptr[1:] - 1] = side + 1
+            parts[at] = s.text[self.ids[side] + mark * len(s.bytes)]
+        bounds, flat = self.first[0] + self.first[1], parts.tolist()
+        return ["".join(flat[x:y])[:-1] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 def _runs(column: pa.Array, limit: int) -> Iterator[tuple[int, list[str]]]:

@@ -6,6 +6,7 @@ from flowsight.llm.alignment import op12_alignment
 from flowsight.llm.anchors import op4_substring_dedup
 from flowsight.llm.archive import op9_token_archive
 from flowsight.llm.contamination import op3_decontamination
+from flowsight.llm.discriminant import op13_quality_classifier
 from flowsight.llm.licences import op2_licences
 from flowsight.llm.lines import op10_line_dedup
 from flowsight.llm.packing import op6_packing
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_resampling": op11_resampling,
     "op12_alignment": op12_alignment,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 ORACLES: dict[str, str] = {}

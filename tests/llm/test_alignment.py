@@ -1,4 +1,5 @@
 import hashlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -20,10 +21,11 @@ def token_bytes():
     a_path, b_path = A.default_paths()
     a, b = Tokenizer.from_file(a_path), SentencePieceProcessor(model_file=b_path)
     a.encode_special_tokens = True
+    byte_of = A._byte_characters()
 
     def left(text):
         for token in a.encode(" " + text, add_special_tokens=False).ids:
-            yield token, bytes(A._byte_characters()[c] for c in a.id_to_token(token))
+            yield token, bytes(byte_of[c] for c in a.id_to_token(token))
 
     def right(text):
         for token in b.encode(text):
@@ -49,10 +51,10 @@ def brute(rows):
                 at += len(raw)
             spans.append(some)
         cuts = sorted({e for _, _, e in spans[0]} & {e for _, _, e in spans[1]})
-        groups = [
-            [[t for t, s, e in side if lo <= s and e <= hi] for side in spans]
-            for lo, hi in zip([0, *cuts], cuts, strict=False)
-        ]
+        groups = [[[], []] for _ in cuts]
+        for side in (0, 1):
+            for token, _, e in spans[side]:
+                groups[bisect_left(cuts, e)][side].append(token)
         over, i = [], 0
         for ta, sa, ea in spans[0]:
             while i and spans[1][i - 1][2] > sa:

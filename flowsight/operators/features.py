@@ -303,6 +303,11 @@ def _describe(
     )
 
 
+def flows_from_aggregates(flat: DataFrame, reasons: Sequence[str], true_active_periods: bool = False) -> DataFrame:
+    """Metadata and features of flows whose aggregates are there already, as a stream keeps them."""
+    return _describe(flat, reasons, (), true_active_periods)
+
+
 def flow_info(flows: DataFrame, *extra: str) -> DataFrame:
     """The 15 metadata columns (plus the id) of assembled flows."""
     return flows.select("flow_id", *extra, *FLOW_INFO_COLUMNS)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowsight.operators.rules import Rule, with_rule_signals
 from flowsight.operators.scoring import attach_predictions
-from flowsight.operators.threats import with_threat_signals
+from flowsight.operators.threats import Lookup, with_threat_signals
 from flowsight.schema import (
     BENIGN,
     CONFIDENCE_THRESHOLD,
@@ -89,7 +89,7 @@ def fuse(
 
 def detect(
     flows: DataFrame,
-    feeds: DataFrame | None = None,
+    feeds: DataFrame | Lookup | None = None,
     predictions: DataFrame | None = None,
     *,
     rules: bool | list[Rule] = True,

@@ -8,12 +8,14 @@ coarsest granularity that matches, and within one slot the least network, then t
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsight.functions.scalar import ip_sql
 from flowsight.schema import TI_MATCHES
-from flowsight.session import BROADCAST_ROWS
+from flowsight.session import BROADCAST_ROWS, cut_lineage
 
 GRAINS = (16, 24, 32)
 _GRAIN = "case when prefix_len <= 16 then 16 when prefix_len <= 24 then 24 else 32 end"
@@ -89,8 +91,29 @@ def _matches() -> str:
     return f"cast(array_compact({pair}) as {TI_MATCHES})"
 
 
+@dataclass(frozen=True)
+class Lookup:
+    """Feeds made ready for probing: the table, the granularities it holds and whether it may be broadcast."""
+
+    table: DataFrame
+    grains: list[int]
+    small: bool
+
+
+def prepare_lookup(feeds: DataFrame, broadcast_rows: int = BROADCAST_ROWS, keep: bool = False) -> Lookup:
+    """The lookup of ``feeds``, its size bounded by one pass over the entries.
+
+    ``keep`` writes the table to the shared checkpoint folder, so that any number of batches probe it without
+    reading the feeds again.
+    """
+    bounds = lookup_bounds(feeds)
+    table = lookup_table(feeds)
+    small = sum(bounds.values()) <= broadcast_rows
+    return Lookup(cut_lineage(table) if keep else table, [g for g in GRAINS if g in bounds], small)
+
+
 def with_threat_signals(
-    flows: DataFrame, feeds: DataFrame | None, broadcast_rows: int = BROADCAST_ROWS
+    flows: DataFrame, feeds: DataFrame | Lookup | None, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Add ``ti_matches`` (the source match first, then the destination's, at most one each) and ``has_ti``.
 
@@ -103,10 +126,8 @@ def with_threat_signals(
         return flows.selectExpr(
             "*", f"cast(array() as {TI_MATCHES}) as ti_matches", "false as has_ti"
         )
-    bounds = lookup_bounds(feeds)
-    grains = [g for g in GRAINS if g in bounds]
-    small = sum(bounds.values()) <= broadcast_rows
-    table = lookup_table(feeds)
+    lookup = feeds if isinstance(feeds, Lookup) else prepare_lookup(feeds, broadcast_rows)
+    table, grains, small = lookup.table, lookup.grains, lookup.small
     if not grains:
         return flows.selectExpr(
             "*", f"cast(array() as {TI_MATCHES}) as ti_matches", "false as has_ti"
@@ -128,7 +149,7 @@ def with_threat_signals(
 
 
 def match_threats(
-    flows: DataFrame, feeds: DataFrame | None, broadcast_rows: int = BROADCAST_ROWS
+    flows: DataFrame, feeds: DataFrame | Lookup | None, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Add ``ti_matches`` only."""
     return with_threat_signals(flows, feeds, broadcast_rows).drop("has_ti")

@@ -21,21 +21,16 @@ def packets_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets_of_events(table(spark, sf_dir, "events"))
 
 
-def with_closing_packet(packets: DataFrame) -> DataFrame:
-    """Let the first event also send a packet of no flow, far in the future, that ends a bounded stream."""
-    tail = (
-        "case when pkt_id = 0 then array(false, true) else array(false) end"
-    )
-    both = packets.selectExpr("*", f"explode({tail}) as _closing")
-    moved = {
-        "ts_us": "ts_us + 1000000000000000",
-        "protocol": "255",
-        "src_ip": "'0.0.0.0'",
-        "dst_ip": "'0.0.0.0'",
-    }
-    return both.selectExpr(
-        *[f"case when _closing then {moved[c]} else {c} end as {c}" if c in moved else c for c in packets.columns]
-    )
+def stream_in_slices(df: DataFrame, number: str, slices: range, folder: str) -> DataFrame:
+    """``df`` as a stream of micro-batches: SQL ``number`` tells in which of ``slices`` a row arrives.
+
+    Slices may be added to a folder call by call: the stream reads whatever is there when it runs.
+    """
+    for i in slices:
+        # written one after the other, as a file source takes files by age
+        df.filter(f"{number} = {i}").write.parquet(f"{folder}/slice={i}")
+    reader = df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+    return reader.parquet(f"{folder}/slice=*")
 
 
 def packets_of_events(events: DataFrame) -> DataFrame:

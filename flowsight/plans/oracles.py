@@ -6,7 +6,7 @@ from flowsight.functions.names import SERVICES, SOURCE_NAMES
 from flowsight.operators import prepare as P
 from flowsight.operators.rules import AUTH_SERVICES, SUSPICIOUS_PORTS
 from flowsight.plans import inputs as I
-from flowsight.plans.queries import FEATURE_GROUPS, ORDER, RAW_LABELS, TIMEOUT_US, feature_digits
+from flowsight.plans.queries import FEATURE_GROUPS, ORDER, RAW_LABELS, SPLIT_US, TIMEOUT_US, feature_digits
 from flowsight.schema import ATTACK_NAMES, FEATURE_COLUMNS
 
 ORACLES: dict[str, str] = {}
@@ -165,8 +165,12 @@ RISK = """case when not is_flagged and score < 0.3e0 then 'benign' when score <
 # -- assembly ----------------------------------------------------------------
 
 
-def flows_cte(timeout=TIMEOUT_US, most=200, idle=5_000_000):
-    """Segments by gaps and FIN/RST, pieces of ``most`` packets, runs as gaps and islands."""
+def flows_cte(timeout=TIMEOUT_US, most=200, idle=5_000_000, longest=None):
+    """Segments by gaps and FIN/RST, pieces of ``most`` packets, runs as gaps and islands.
+
+    With ``longest`` a piece also ends at the first packet that long after its start, which only a walk from packet
+    to packet can tell: the query must then begin with ``with recursive``.
+    """
     key = "lo_ip, lo_port, hi_ip, hi_port, protocol"
     seg, piece = f"{key}, seg", f"{key}, seg, chunk"
     o = "order by ts_us, pkt_id"
@@ -185,6 +189,18 @@ def flows_cte(timeout=TIMEOUT_US, most=200, idle=5_000_000):
         f"count(*) filter (tcp and tcp_flags & {b} > 0) as c_{f}"
         for f, b in [("fin", 1), ("syn", 2), ("rst", 4), ("psh", 8), ("ack", 16), ("urg", 32), ("ece", 64), ("cwr", 128)]
     )
+    pieces = f"parts as (select *, (pos - 1) // {most} as chunk, lo = lo0 as fwd from placed)"
+    overdue = "false"
+    if longest:
+        ended = f"(w.cnt >= {most} or w.ts_us - w.base >= {longest})"
+        pieces = f"""
+walk as (select {seg}, pos, ts_us, ts_us as base, 1 as cnt, 0 as chunk from placed where pos = 1
+  union all select {", ".join("p." + c for c in seg.split(", "))}, p.pos, p.ts_us,
+  case when {ended} then w.ts_us else w.base end, case when {ended} then 1 else w.cnt + 1 end,
+  case when {ended} then w.chunk + 1 else w.chunk end
+  from walk w join placed p on {" and ".join(f"p.{c} = w.{c}" for c in seg.split(", "))} and p.pos = w.pos + 1),
+parts as (select p.*, w.chunk, lo = lo0 as fwd from placed p join walk w using ({seg}, pos))"""
+        overdue = f"end_us - start_us >= {longest}"
     return f"""
 keyed as (select *, (src_ip, src_port) <= (dst_ip, dst_port) as lo, protocol = 6 as tcp,
   ip_header_len + transport_header_len as hdr, greatest(total_len - ip_header_len - transport_header_len, 0) as payload,
@@ -197,9 +213,9 @@ near as (select *, lag(ts_us) over k as pts, lag(closes) over k as pcl, lead(ts_
   window k as (partition by {key} {o})),
 segs as (select *, sum(case when pts is null or pcl or ts_us - pts > {timeout} then 1 else 0 end)
   over (partition by {key} {o} rows unbounded preceding) as seg from near),
-placed as (select *, row_number() over s as pos, first_value(lo) over s as lo0, first_value(pts) over s as dummy,
+placed as materialized (select *, row_number() over s as pos, first_value(lo) over s as lo0, first_value(pts) over s as dummy,
   lag(ts_us) over s as sts from segs window s as (partition by {seg} {o})),
-parts as (select *, (pos - 1) // {most} as chunk, lo = lo0 as fwd from placed),
+{pieces},
 stepped as (select *, ts_us - sts as gap,
   ts_us - lag(ts_us) over (partition by {piece}, fwd {o}) as dgap,
   lag(fwd) over (partition by {piece} {o}) as pfwd from parts),
@@ -220,7 +236,7 @@ agg as (select {piece}, arg_min(pkt_id, pos) as flow_id, arg_max(pkt_id, pos) as
   count(*) filter (fwd and tcp and payload > 0) as act, min(payload) filter (fwd and tcp and payload > 0) as minseg
   from stepped group by {piece}),
 built as (select a.*, b.* exclude ({piece}), end_us - start_us as dur,
-  case when closed then 'fin_rst' when n = {most} then 'max_pkts' when nts = -1 then 'finalize' else 'timeout' end as reason,
+  case when closed then 'fin_rst' when n = {most} then 'max_pkts' when {overdue} then 'duration' when nts = -1 then 'finalize' else 'timeout' end as reason,
   case when lo0 then lo_ip else hi_ip end as src_ip, case when lo0 then hi_ip else lo_ip end as dst_ip,
   case when lo0 then lo_port else hi_port end as src_port, case when lo0 then hi_port else lo_port end as dst_port
   from agg a left join bulks b using ({piece}))
@@ -635,6 +651,19 @@ ORACLES["address_frequency"] = f"with {FLOWS_IN} select src_ip as value, count(*
 # -- state -------------------------------------------------------------------
 
 ORACLES["streamed_flow_metadata"] = f"{ASSEMBLED}, info as ({INFO}) select * exclude (reason) from info"
-ORACLES["streamed_port_scans"] = f"""with {PACKETS}, w as (select ts_us - ts_us % 300000000 as window_us, src_ip, src_port * 7 % 50 + total_len as port from packets)
-  select window_us, src_ip, cast(count(distinct port) as int) as distinct_ports, round(least(1e0, count(distinct port) / 60e0), 6) as severity
-  from w group by 1, 2 having count(distinct port) >= 20"""
+_SPLIT = f"with recursive {PACKETS}, {flows_cte(longest=SPLIT_US)}"
+ORACLES["streamed_detections"] = f"""{_SPLIT}, {_BUILT_FLOWS}, {FEEDS}, {TI}, {rules_cte()}, {fused_cte(_BY_PORT)},
+  verdicts as ({FUSED_COLUMNS}) select *, true as has_line from verdicts"""
+ORACLES["duration_splits"] = f"""with recursive {PACKETS}, {flows_cte(longest=4_000_000)} {INFO}
+  union all select -1 - last_id, end_us, end_us, case when nts = -1 then 'finalize' else 'timeout' end, src_ip, dst_ip,
+  src_port, dst_port, protocol, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0 from built
+  where not closed and (n = 200 or end_us - start_us >= 4000000) and (nts = -1 or nts - end_us > {TIMEOUT_US})"""
+ORACLES["streamed_counters"] = f"""with {PACKETS} select 'packets' as name, count(*) as total from packets
+  union all select 'seen.rows', count(*) from packets union all select 'seen.flagged', count(*) filter (protocol = 6) from packets
+  union all select 'late', 0 union all select 'missing', 0"""
+ORACLES["streamed_port_scans"] = f"""with {PACKETS},
+  w as (select ts_us - ts_us % 120000000 as window_us, src_ip, src_port * 7 % 50 + total_len as port from packets
+    where not (pkt_id % 10 = 3 and ts_us + 200000 < {I.EPOCH_US + 144_000_000})),
+  seen as (select (max(ts_us) // 1000 - 20000) * 1000 as mark from packets)
+  select window_us, src_ip, count(distinct port) as distinct_ports, round(least(1, count(distinct port) / 9e0), 6) as severity
+  from w, seen where window_us + 120000000 <= mark group by all having count(distinct port) >= 3"""

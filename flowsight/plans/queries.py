@@ -41,9 +41,12 @@ from flowsight.sources.sinks import (
     syslog_severity,
     to_events,
 )
-from flowsight.streaming.sessions import stream_flows, stream_port_scan
+from flowsight.streaming.counters import RunCounters, counted
+from flowsight.streaming.live import LiveDetection, TableSink, stream_port_scan
+from flowsight.streaming.sessions import flush_sessions, hand_out, stream_flows
 
 TIMEOUT_US = 15_000_000
+SPLIT_US = 15_000_000
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -874,49 +877,115 @@ def address_frequency(spark, d):
 
 @query
 def duration_splits(spark, d):
-    """Flows also cut after 4 s, with packet-less successors. A scan: checked against brute force."""
+    """Flows also cut after 4 s, with packet-less successors."""
     flows = _assembled(spark, d, max_duration_us=4_000_000, emit_empty_tail=True)
     return flow_info(flows, "start_us", "end_us", "reason")
 
 
-@query
-def streamed_flow_metadata(spark, d):
-    """The packets as a stream, sessionised with state and closed by a far-future packet; the flows of
-    all micro-batches must equal the batch result (an idle flow ends by timeout, never by end of input)."""
-    spark.conf.set(
+SLICES = 6
+# arrival in time order, a sixth of the time span each; rows of the last 200 ms of a slice come with the next one
+_SLICE = f"cast(least({SLICES - 1}, greatest(0, (ts_us + 200000 - {I.EPOCH_US}) div 144000000)) as int)"
+# in the port-scan stream, some rows of the first slice come with the last one: far too late
+_LATE = "pkt_id % 10 = 3"
+
+
+def _packet_stream(spark, d, folder, late=False, slices=range(SLICES)):
+    """Whole events table as packets in ``SLICES`` micro-batches, slightly out of order, with event time."""
+    packets = I.packets_from_events(spark, d)
+    number = f"if({_SLICE} = 0 and {_LATE}, {SLICES - 1}, {_SLICE})" if late else _SLICE
+    return with_event_time(I.stream_in_slices(packets, number, slices, f"{folder}/in"))
+
+
+def _state_store(spark):
+    """Sessions keep their state in RocksDB; the setting holds for this query only."""
+    return _Setting(
+        spark,
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
+
+
+class _Setting:
+    def __init__(self, spark, name, value):
+        self.spark, self.name, self.value = spark, name, value
+
+    def __enter__(self):
+        self.old = self.spark.conf.get(self.name, None)
+        self.spark.conf.set(self.name, self.value)
+
+    def __exit__(self, *_):
+        if self.old is None:
+            self.spark.conf.unset(self.name)
+        else:
+            self.spark.conf.set(self.name, self.old)
+
+
+@query
+def streamed_flow_metadata(spark, d):
+    """The packets as a stream in several micro-batches, sessionised with state; what is open at the end is read
+    from the state store. All flows together equal the batch result."""
     folder = scratch_folder(spark)
-    events_only = (
-        spark.readStream.schema(I.table(spark, d, "events").schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(d)
-    )
-    packets = I.with_closing_packet(I.packets_of_events(events_only))
-    out = f"{folder}/flows"
+    sink = TableSink(f"{folder}/flows", lambda flows: flow_info(flows, "start_us", "end_us"))
+    limits = {"timeout_us": TIMEOUT_US, "max_duration_us": None}
+    with _state_store(spark):
+        writer = stream_flows(
+            _packet_stream(spark, d, folder), [sink], f"{folder}/checkpoint", watermark="1 second", **limits
+        )
+        writer.trigger(availableNow=True).start().awaitTermination()
+        hand_out(flush_sessions(spark, f"{folder}/checkpoint", **limits), [sink], "flush")
+    return sink.read(spark)
+
+
+@query
+def streamed_detections(spark, d):
+    """Live detection over the whole stream: sessions that also split after 15 s, feeds prepared once, two sinks."""
+    folder = scratch_folder(spark)
+    verdicts = TableSink(f"{folder}/verdicts", _fused)
+    alerts = TableSink(f"{folder}/alerts", lambda found: found.select("flow_id", alert_line().alias("line")))
+    with _state_store(spark):
+        live = LiveDetection(
+            [verdicts, alerts], f"{folder}/checkpoint", _feeds(spark, d), score_by_port, "1 second",
+            timeout_us=TIMEOUT_US, max_duration_us=SPLIT_US,
+        )
+        live.writer(_packet_stream(spark, d, folder)).trigger(availableNow=True).start().awaitTermination()
+        live.flush(spark)
+    lines = alerts.read(spark).selectExpr("flow_id", "line is not null as has_line")
+    return verdicts.read(spark).join(lines, "flow_id")
 
-    def keep(batch, batch_id):
-        # the batch id names the folder: a repeated batch overwrites itself
-        flow_info(batch, "start_us", "end_us").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    stream_flows(
-        with_event_time(packets),
-        [keep],
-        f"{folder}/checkpoint",
-        timeout_us=TIMEOUT_US,
-        max_duration_us=None,
-        watermark="1 second",
-    ).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).drop("batch")
+@query
+def streamed_counters(spark, d):
+    """Totals of a stream that is stopped after its first half and started again: rows read, rows and TCP packets
+    passed on, from progress reports alone."""
+    folder = scratch_folder(spark)
+    name = f"counted-{folder.rsplit('/', 1)[-1]}"
+    for half in (range(SLICES // 2), range(SLICES // 2, SLICES)):
+        packets = _packet_stream(spark, d, folder, slices=half)
+        passed = counted(packets.select("pkt_id", "protocol"), "seen", "protocol = 6")
+        # a new listener each time, as after a restart of the driver
+        counters = RunCounters(spark, f"{folder}/counters", name)
+        spark.streams.addListener(counters)
+        try:
+            writer = passed.writeStream.queryName(name).format("noop")
+            writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+            counters.totals()
+        finally:
+            spark.streams.removeListener(counters)
+    return counters.table(spark).filter("name <> 'batches'")
 
 
 @query
 def streamed_port_scans(spark, d):
-    """Port scans per 5 minutes of the event stream, by the streaming operator on the whole table."""
-    p = with_event_time(I.packets_from_events(spark, d))
+    """Port scans per two minutes of a running stream with late rows, by two stages of state."""
+    folder = scratch_folder(spark)
+    p = _packet_stream(spark, d, folder, late=True)
     wide = p.selectExpr("ts", "src_ip", "cast(src_port * 7 % 50 + total_len as int) as dst_port")
-    return stream_port_scan(wide, watermark=None).selectExpr(
+    sink = TableSink(f"{folder}/scans")
+    found = stream_port_scan(wide, "2 minutes", 3, watermark="20 seconds")
+    with _state_store(spark):
+        writer = found.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return sink.read(spark).selectExpr(
         "cast(unix_micros(window_start) as bigint) as window_us", "src_ip", "distinct_ports",
         "round(severity, 6) as severity",
     )

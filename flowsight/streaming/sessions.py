@@ -1,227 +1,143 @@
-"""Stateful sessionisation of a packet stream.
+"""Stateful sessionisation of a packet stream, in state whose parts are read only when they are due.
 
-State per canonical key: packets the watermark has not reached, the packets of the open flow (never more
-than ``max_packets``) and a few numbers. Closed flows leave as labelled packets, exactly the rows the
-batch labeller yields, so the same measures, aggregation, rules and fusion run on each micro-batch.
+State per canonical 5-tuple: the packets that the watermark has not passed, in blocks of at most ``BLOCK_ROWS`` keyed
+by time bucket, and one ``OpenFlow`` of constant size. A timer stands at the end of every bucket that holds packets:
+when the watermark reaches it, that bucket alone is read, ordered and fed to the open flow. A micro-batch that only
+adds packets reads none. Idle flows end by a timer as well, at the first bucket end past the idle timeout.
+
+When a session stops, ``flush_sessions`` reads what is left from the state store and closes it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from flowsight.operators.assemble import (
-    DURATION,
-    FIN_RST,
-    KEY,
-    MAX_PKTS,
-    REASONS,
-    TIMEOUT,
-    keyed_packets,
-)
-from flowsight.operators.features import aggregate_flows, flow_measures
-from flowsight.schema import (
-    IDLE_THRESHOLD_US,
-    LIVE_MAX_DURATION_US,
-    LIVE_TIMEOUT_US,
-    MAX_PACKETS,
+from flowsight.operators.assemble import KEY, REASONS, keyed_packets
+from flowsight.operators.features import flows_from_aggregates
+from flowsight.schema import IDLE_THRESHOLD_US, LIVE_MAX_DURATION_US, LIVE_TIMEOUT_US, MAX_PACKETS
+from flowsight.streaming.accumulate import (
+    PACKET,
+    PACKET_FIELDS,
+    Limits,
+    OpenFlow,
+    advance,
+    closed_flow_schema,
+    closed_frame,
+    expire,
+    finish,
 )
 
-# what a packet carries beside its key, in state-row order
-CARRIED = {
-    "ts_us": "bigint",
-    "pkt_id": "bigint",
-    "from_lo": "boolean",
-    "header_bytes": "int",
-    "total_len": "int",
-    "payload_size": "int",
-    "tcp_flags": "int",
-    "tcp_window": "int",
-    "closes": "boolean",
-}
-LABELS = {
-    "rn": "bigint",
-    "fwd": "boolean",
-    "flow_rn": "bigint",
-    "seg_prev_ts": "bigint",
-    "reason": "int",
-    "tail_reason": "int",
-}
-CLOSING_PROTOCOL = 255
-_NAMES = list(CARRIED)
-_TS, _ID, _LO, _CLOSES = (_NAMES.index(c) for c in ("ts_us", "pkt_id", "from_lo", "closes"))
-
-
-@dataclass
-class Cursor:
-    """Where a key stands: the open segment, if any, and the flow being filled in it."""
-
-    rn: int = 0
-    live: bool = False
-    lo_is_fwd: bool = True
-    last_ts: int = 0
-    start_ts: int = 0
-    fresh: bool = True  # the next packet starts a segment
-
-    def as_row(self) -> tuple:
-        return (self.rn, self.live, self.lo_is_fwd, self.last_ts, self.start_ts)
-
-
-@dataclass(frozen=True)
-class Limits:
-    timeout_us: int
-    max_packets: int
-    max_duration_us: int | None
-
-
-def advance(cursor: Cursor, held: list[tuple], packets: list[tuple], limits: Limits) -> list[tuple]:
-    """Feed time-ordered packets into the open flow ``held``; returns the packets of flows that closed."""
-    done: list[tuple] = []
-
-    def close(reason: int) -> None:
-        if held:
-            done.extend(held[:-1])
-            done.append(held[-1][:-2] + (reason, None))
-            held.clear()
-
-    for p in packets:
-        ts = p[_TS]
-        if cursor.live and ts - cursor.last_ts > limits.timeout_us:
-            close(TIMEOUT)
-            cursor.live = False
-        previous = cursor.last_ts if cursor.live else None
-        if previous is None:
-            cursor.live, cursor.lo_is_fwd, cursor.start_ts = True, p[_LO], ts
-        cursor.rn += 1
-        first = held[0][len(_NAMES)] if held else cursor.rn
-        held.append((*p, cursor.rn, p[_LO] == cursor.lo_is_fwd, first, previous, None, None))
-        cursor.last_ts = ts
-        if p[_CLOSES]:
-            close(FIN_RST)
-            cursor.live = False
-        elif len(held) >= limits.max_packets:
-            close(MAX_PKTS)
-            cursor.start_ts = ts
-        elif limits.max_duration_us and ts - cursor.start_ts >= limits.max_duration_us:
-            close(DURATION)
-            cursor.start_ts = ts
-    return done
+BUCKET_MS = 1_000
+BLOCK_ROWS = 512
+_KEY_TYPES = "lo_ip string, lo_port int, hi_ip string, hi_port int, protocol int"
+
+
+def _packed(pdf: pd.DataFrame) -> np.ndarray:
+    out = np.empty(len(pdf), PACKET)
+    for name in PACKET_FIELDS:
+        out[name] = pdf[name].to_numpy()
+    return out
 
 
 class FlowSessions(StatefulProcessor):
-    """Orders packets by event time behind the watermark and cuts them into flows."""
+    """Packets wait in buckets behind the watermark; due buckets go into the open flow of their 5-tuple."""
 
-    def __init__(self, limits: Limits):
-        self.limits = limits
+    def __init__(self, limits: Limits, bucket_ms: int = BUCKET_MS, block_rows: int = BLOCK_ROWS):
+        self.limits, self.bucket_ms, self.block_rows = limits, bucket_ms, block_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        carried = ", ".join(f"{c} {t}" for c, t in CARRIED.items())
-        labels = ", ".join(f"{c} {t}" for c, t in LABELS.items())
         self.handle = handle
-        self.pending = handle.getListState("pending", carried)
-        self.held = handle.getListState("held", f"{carried}, {labels}")
-        self.cursor = handle.getValueState(
-            "cursor", "rn bigint, live boolean, lo_is_fwd boolean, last_ts bigint, start_ts bigint"
-        )
+        self.blocks = handle.getMapState("blocks", "bucket bigint", "n int")
+        self.waiting = handle.getMapState("waiting", "bucket bigint, block int", "packets binary")
+        self.open = handle.getValueState("open", "flow binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh: list[tuple] = []
         for pdf in rows:
-            fresh.extend(pdf[_NAMES].itertuples(index=False, name=None))
-        yield self._step(key, fresh, timerValues)
+            packets = _packed(pdf)
+            bucket = packets["ts_us"] // (self.bucket_ms * 1000)
+            order = np.argsort(bucket, kind="stable")
+            packets, bucket = packets[order], bucket[order]
+            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            for at, to in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True):
+                self._wait(int(bucket[at]), packets[at:to])
+        return iter(())
+
+    def _wait(self, bucket: int, packets: np.ndarray) -> None:
+        known = self.blocks.containsKey((bucket,))
+        n = self.blocks.getValue((bucket,))[0] if known else 0
+        for at in range(0, len(packets), self.block_rows):
+            self.waiting.updateValue((bucket, n), (packets[at : at + self.block_rows].tobytes(),))
+            n += 1
+        self.blocks.updateValue((bucket,), (n,))
+        if not known:
+            self.handle.registerTimer((bucket + 1) * self.bucket_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._step(key, [], timerValues)
+        now_ms = expiredTimerInfo.getExpiryTimeInMs()
+        flow = OpenFlow.from_bytes(self.open.get()[0]) if self.open.exists() else OpenFlow()
+        done = list(advance(flow, self._due(now_ms // self.bucket_ms - 1), tuple(key), self.limits))
+        done += expire(flow, tuple(key), now_ms * 1000, self.limits)
+        if flow.seg["live"]:
+            if flow.seg["timer_ms"] <= now_ms:
+                # at a bucket end, so that every packet before it has been seen by then
+                last = flow.seg["last_ts"] + self.limits.timeout_us
+                flow.seg["timer_ms"] = (last // (self.bucket_ms * 1000) + 1) * self.bucket_ms
+                self.handle.registerTimer(flow.seg["timer_ms"])
+            self.open.update((flow.to_bytes(),))
+        elif self.open.exists():
+            self.open.clear()
+        if done:
+            yield closed_frame(done)
+
+    def _due(self, bucket: int) -> np.ndarray:
+        if not self.blocks.containsKey((bucket,)):
+            return np.zeros(0, PACKET)
+        parts = []
+        for block in range(self.blocks.getValue((bucket,))[0]):
+            parts.append(np.frombuffer(self.waiting.getValue((bucket, block))[0], PACKET))
+            self.waiting.removeKey((bucket, block))
+        self.blocks.removeKey((bucket,))
+        return np.concatenate(parts)
 
     def close(self) -> None:
         pass
 
-    def _step(self, key, fresh: list[tuple], timers) -> pd.DataFrame:
-        mark = timers.getCurrentWatermarkInMs() * 1000
-        waiting = [tuple(r) for r in self.pending.get()] + fresh
-        ready = sorted((r for r in waiting if r[_TS] <= mark), key=lambda r: (r[_TS], r[_ID]))
-        later = [r for r in waiting if r[_TS] > mark]
-        held = [tuple(r) for r in self.held.get()]
-        cursor = Cursor(*self.cursor.get()) if self.cursor.exists() else Cursor()
-
-        done = advance(cursor, held, ready, self.limits)
-        if cursor.live and mark - cursor.last_ts > self.limits.timeout_us:
-            if held:
-                done += held[:-1] + [held[-1][:-2] + (TIMEOUT, None)]
-                held = []
-            cursor.live = False
-
-        self._store(self.pending, later)
-        self._store(self.held, held)
-        if cursor.live or later:
-            self.cursor.update(cursor.as_row())
-        else:
-            self.cursor.clear()
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        due = [min(r[_TS] for r in later)] if later else []
-        if cursor.live:
-            due.append(cursor.last_ts + self.limits.timeout_us + 1)
-        if due:
-            self.handle.registerTimer(max(-(-min(due) // 1000), timers.getCurrentWatermarkInMs() + 1))
-        return _frame(key, done)
-
-    @staticmethod
-    def _store(state, rows: list[tuple]) -> None:
-        if rows:
-            state.put(rows)
-        else:
-            state.clear()
-
-
-def _frame(key: Sequence, rows: list[tuple]) -> pd.DataFrame:
-    """Plain object columns: nulls stay None and Arrow takes the types from the output schema."""
-    columns = [*KEY, *_NAMES, *LABELS]
-    return pd.DataFrame([(*key, *r) for r in rows], columns=columns, dtype="object")
-
-
-def _output_schema() -> str:
-    keys = "lo_ip string, lo_port int, hi_ip string, hi_port int, protocol int"
-    return ", ".join([keys, *[f"{c} {t}" for c, t in {**CARRIED, **LABELS}.items()]])
-
-
-def label_stream(
-    packets: DataFrame,
-    *,
-    watermark: str = "5 seconds",
-    timeout_us: int = LIVE_TIMEOUT_US,
-    max_packets: int = MAX_PACKETS,
-    max_duration_us: int | None = LIVE_MAX_DURATION_US,
+
+def closed_flow_stream(
+    packets: DataFrame, limits: Limits, watermark: str = "5 seconds", bucket_ms: int = BUCKET_MS
 ) -> DataFrame:
-    """Packet stream (with event time ``ts``) -> labelled packets of closed flows.
+    """Packet stream (with event time ``ts``) -> aggregates of closed flows.
 
-    Packets wait until the watermark passes them, so arrival order inside it does not matter; later
-    ones are dropped and counted by Spark. Needs the RocksDB state store.
+    Packets wait until the watermark passes their bucket, so arrival order inside it does not matter; later ones are
+    dropped and counted by Spark. Needs the RocksDB state store.
     """
     keyed = keyed_packets(packets.withWatermark("ts", watermark), ["ts"])
-    limits = Limits(timeout_us, max_packets, max_duration_us)
     return keyed.groupBy(*KEY).transformWithStateInPandas(
-        statefulProcessor=FlowSessions(limits),
-        outputStructType=_output_schema(),
+        statefulProcessor=FlowSessions(limits, bucket_ms),
+        outputStructType=closed_flow_schema(),
         outputMode="Append",
         timeMode="EventTime",
     )
 
 
-def flows_of_batch(
-    labelled: DataFrame,
+def session_limits(
+    timeout_us: int = LIVE_TIMEOUT_US,
+    max_packets: int = MAX_PACKETS,
+    max_duration_us: int | None = LIVE_MAX_DURATION_US,
     idle_threshold_us: int = IDLE_THRESHOLD_US,
-    true_active_periods: bool = False,
-) -> DataFrame:
-    """Labelled packets of closed flows (one micro-batch) -> flows, by the batch operators."""
-    labelled = labelled.filter(F.col("protocol") != CLOSING_PROTOCOL)
-    measured = flow_measures(labelled, [*KEY, "flow_rn"], idle_threshold_us)
-    return aggregate_flows(measured, KEY, REASONS, true_active_periods=true_active_periods)
+) -> Limits:
+    return Limits(timeout_us, max_packets, max_duration_us, idle_threshold_us)
+
+
+def flows_of(closed: DataFrame, true_active_periods: bool = False) -> DataFrame:
+    """Aggregates of closed flows -> flows with metadata and features, by the expressions of the batch route."""
+    return flows_from_aggregates(closed, REASONS, true_active_periods)
 
 
 def stream_flows(
@@ -229,8 +145,10 @@ def stream_flows(
     on_flows: Sequence[Callable[[DataFrame, int], None]],
     checkpoint: str,
     enrich: Callable[[DataFrame], DataFrame] | None = None,
-    idle_threshold_us: int = IDLE_THRESHOLD_US,
-    **session,
+    watermark: str = "5 seconds",
+    true_active_periods: bool = False,
+    bucket_ms: int = BUCKET_MS,
+    **limits,
 ):
     """Writer of a live session: flows of each micro-batch, enriched, to every sink in ``on_flows``.
 
@@ -239,83 +157,80 @@ def stream_flows(
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        flows = flows_of_batch(batch, idle_threshold_us)
-        out = (enrich(flows) if enrich else flows).persist()
-        try:
-            for write in on_flows:
-                write(out, batch_id)
-        finally:
-            out.unpersist()
+        hand_out(flows_of(batch, true_active_periods), on_flows, batch_id, enrich)
+
+    closed = closed_flow_stream(packets, session_limits(**limits), watermark, bucket_ms)
+    return closed.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
 
-    labelled = label_stream(packets, **session)
-    return labelled.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
 
+def hand_out(
+    flows: DataFrame,
+    writers: Sequence[Callable[[DataFrame, int], None]],
+    batch_id: int,
+    enrich: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
+    """Compute the flows of one batch once and give them to every writer."""
+    out = (enrich(flows) if enrich else flows).persist()
+    try:
+        for write in writers:
+            write(out, batch_id)
+    finally:
+        out.unpersist()
 
-def closing_packets(spark, after_us: int, hours: int = 24) -> DataFrame:
-    """One packet of no flow, far in the future: moves the watermark so that open flows time out.
 
-    Append it as the last input of a bounded run; its reserved protocol number keeps it out of results.
-    (Dropping it before the watermark would not do: filters are pushed below the watermark.)
-    """
-    ts = after_us + hours * 3_600_000_000
-    return spark.range(1).selectExpr(
-        "-1L as pkt_id",
-        f"{ts}L as ts_us",
-        "'0.0.0.0' as src_ip",
-        "'0.0.0.0' as dst_ip",
-        *[f"0 as {c}" for c in ("src_port", "dst_port")],
-        f"{CLOSING_PROTOCOL} as protocol",
-        *[
-            f"0 as {c}"
-            for c in ("ip_header_len", "transport_header_len", "total_len", "tcp_flags", "tcp_window")
-        ],
-    )
+# -- the end of a session ------------------------------------------------------
 
 
-# -- streaming rules and counters --------------------------------------------
+def _state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
+    reader = spark.read.format("statestore").option("path", checkpoint)
+    return reader.option("stateVarName", name).load()
 
 
-def stream_port_scan(
-    flows: DataFrame,
-    window: str = "5 minutes",
-    threshold: int = 20,
-    time: str = "ts",
-    watermark: str | None = "1 minute",
+def flush_sessions(
+    spark: SparkSession, checkpoint: str, true_active_periods: bool = False, **limits
 ) -> DataFrame:
-    """Sources that reach many destination ports inside a window.
+    """Flows that were open, or whose packets were waiting, when the query over ``checkpoint`` stopped.
 
-    The set is of ports, so it has at most 65,536 numbers however much a source sends, and partial
-    sets are merged map-side.
+    The query must be at rest. Waiting packets are taken in order and whatever is open in the end closes as
+    ``finalize``. Blocks of one 5-tuple are read one bucket after another, so memory holds one bucket. The state itself
+    stays as it is: after a flush, begin the next session with a new checkpoint.
     """
-    timed = flows.withWatermark(time, watermark) if watermark else flows
-    sets = timed.groupBy(F.window(time, window).alias("window"), "src_ip").agg(
-        F.size(F.collect_set("dst_port")).alias("distinct_ports")
+    rules = session_limits(**limits)
+    keys = [F.col(f"key.{c}").alias(c) for c in KEY]
+    held = _state(spark, checkpoint, "open").select(
+        *keys, F.lit(None).cast("bigint").alias("bucket"), F.lit(0).alias("block"), F.col("value.flow").alias("body")
     )
-    return sets.filter(F.col("distinct_ports") >= threshold).selectExpr(
-        "window.start as window_start",
-        "src_ip",
-        "distinct_ports",
-        f"least(1.0D, distinct_ports / {float(threshold * 3)}D) as severity",
+    left = _state(spark, checkpoint, "waiting").select(
+        *keys, "user_map_key.bucket", "user_map_key.block", F.col("user_map_value.packets").alias("body")
     )
 
-
-def counted(df: DataFrame, name: str, flagged: str | None = None) -> DataFrame:
-    """Attach live counters that a StreamingQueryListener (or ``lastProgress``) can read."""
-    metrics = [F.count(F.lit(1)).alias("rows")]
-    if flagged:
-        metrics.append(F.count_if(flagged).alias("flagged"))
-    return df.observe(name, *metrics)
-
-
-def live_counters(query, *names: str) -> dict:
-    """Observed metrics, rows read and late rows dropped, summed over the recent progress reports."""
-    out = {"packets": 0, "late": 0}
-    for p in query.recentProgress:
-        out["packets"] += p["numInputRows"]
-        for op in p["stateOperators"]:
-            out["late"] += op["numRowsDroppedByWatermark"]
-        for name in names:
-            row = (p["observedMetrics"] or {}).get(name)
-            for field, value in (row.asDict() if hasattr(row, "asDict") else row or {}).items():
-                out[f"{name}.{field}"] = out.get(f"{name}.{field}", 0) + (value or 0)
-    return out
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, flow, bucket, parts = None, OpenFlow(), None, []
+
+        def through() -> list[tuple]:
+            done = list(advance(flow, np.concatenate(parts), key, rules)) if parts else []
+            parts.clear()
+            return done
+
+        for frame in frames:
+            done = []
+            for *now, number, _, body in frame.astype(object).itertuples(index=False, name=None):
+                now = tuple(now)
+                if now != key:
+                    if key is not None:
+                        done += [*through(), *finish(flow, key)]
+                    key, flow, bucket = now, OpenFlow(), None
+                if pd.isna(number):
+                    flow = OpenFlow.from_bytes(body)
+                    continue
+                if number != bucket:
+                    done += through()
+                    bucket = number
+                parts.append(np.frombuffer(body, PACKET))
+            if done:
+                yield closed_frame(done)
+        if key is not None:
+            yield closed_frame([*through(), *finish(flow, key)])
+
+    both = held.unionByName(left).repartition(*KEY).sortWithinPartitions(*KEY, F.asc_nulls_first("bucket"), "block")
+    return flows_of(both.mapInPandas(run, closed_flow_schema()), true_active_periods)

@@ -49,10 +49,18 @@ def _is_least(grams: str, at: str, run: int) -> str:
 
 
 def _fingerprints(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep``, words, position and hash of every winnowed k-gram."""
+    """``keep`` and every winnowed k-gram: pos, gram, the words around it that a window with it can hold, where they begin.
+
+    The least k-grams are picked inside the array, so that a row carries a few words and never a whole text. The outer
+    explode matters: below an inner one Spark repeats the array's definition in a filter on the scan, lambda and all.
+    """
+    reach = WINDOW - GRAM
+    begin = f"greatest(0, p - {reach})"
+    least = f"filter(sequence(0, greatest(0, size(grams) - 1)), p -> {_is_least('grams', 'p', reach + 1)})"
+    around = f"slice(words, {begin} + 1, {WINDOW + reach})"
+    each = f"transform({least}, p -> struct(p as pos, grams[p] as gram, {begin} as begin, size(words) as n, {around} as around))"
     grams = rows.selectExpr(*keep, "words", f"{_grams('words', GRAM)} as grams")
-    each = grams.selectExpr(*keep, "words", "grams", "posexplode(grams) as (pos, gram)")
-    return each.filter(_is_least("grams", "pos", WINDOW - GRAM + 1)).select(*keep, "words", "pos", "gram")
+    return grams.selectExpr(*keep, f"explode_outer({each}) as f").where("f.gram is not null").select(*keep, "f.*")
 
 
 def contaminated(
@@ -73,7 +81,7 @@ def contaminated(
 
     # every distinct window of the items with the items that hold it
     cut = f"transform(sequence(1, greatest(1, size(words) - {WINDOW - 1})), i -> slice(words, i, {WINDOW}))"
-    windows = tests.filter("size(words) > 0").selectExpr("item_id", f"explode({cut}) as grams")
+    windows = tests.filter("size(words) > 0").selectExpr("item_id", f"explode_outer({cut}) as grams")
     windows = windows.selectExpr("item_id", "size(grams) as length", "array_join(grams, ' ') as span").distinct()
     spans = windows.select("span", "length").distinct()
 
@@ -81,20 +89,20 @@ def contaminated(
     wanted = _fingerprints(tests.filter(f"size(words) >= {WINDOW}"), ["item_id"]).select("gram").distinct()
     hits = _fingerprints(words.filter(f"size(words) >= {WINDOW}"), ["doc_id", "text_hash"])
     hits = hits.join(broadcast_if_small(wanted), "gram", "left_semi")
-    low, high = f"greatest(0, pos - {WINDOW - GRAM})", f"least(pos, size(words) - {WINDOW})"
-    found = hits.selectExpr("doc_id", "text_hash", "words", f"explode(sequence({low}, {high})) as start").selectExpr(
-        "doc_id", "text_hash", "start", f"{WINDOW} as length", f"array_join(slice(words, start + 1, {WINDOW}), ' ') as span"
+    starts = f"explode_outer(sequence(begin, least(pos, n - {WINDOW}))) as start"
+    found = hits.selectExpr("doc_id", "text_hash", "around", "begin", starts).selectExpr(
+        "doc_id", "text_hash", "start", f"{WINDOW} as length", f"array_join(slice(around, start - begin + 1, {WINDOW}), ' ') as span"
     )
     # short items: at most WINDOW - 1 lengths, so this collects a few numbers
     lengths = [r.length for r in spans.select("length").distinct().filter(f"length < {WINDOW}").collect()]
     for n in sorted(lengths):
         short = broadcast_if_small(spans.filter(f"length = {n}").selectExpr("xxhash64(split(span, ' ')) as gram").distinct())
-        at = words.filter(f"size(words) >= {n}").selectExpr(
-            "doc_id", "text_hash", "words", f"posexplode({_grams('words', n)}) as (start, gram)"
-        )
+        every = f"sequence(0, greatest(0, size(words) - {n}))"
+        cuts = f"transform({every}, p -> struct(p as start, xxhash64(slice(words, p + 1, {n})) as gram, slice(words, p + 1, {n}) as around))"
+        at = words.filter(f"size(words) >= {n}").selectExpr("doc_id", "text_hash", f"explode_outer({cuts}) as f")
         found = found.unionByName(
-            at.join(short, "gram", "left_semi").selectExpr(
-                "doc_id", "text_hash", "start", f"{n} as length", f"array_join(slice(words, start + 1, {n}), ' ') as span"
+            at.select("doc_id", "text_hash", "f.*").join(short, "gram", "left_semi").selectExpr(
+                "doc_id", "text_hash", "start", f"{n} as length", "array_join(around, ' ') as span"
             )
         )
     # neighbouring fingerprints lead to the same window: keep each once, and only true ones

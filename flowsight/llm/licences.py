@@ -147,7 +147,7 @@ def _units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sentence = "trim(regexp_replace(p, '\n?\x01[0-9]+\x02', ' '))"
     each = f"transform({wrapped}, p -> struct({first} as line, element_at({marks}, -1) as last, {sentence} as paragraph))"
     alone = "transform(lines, (x, i) -> struct(i as line, i as last, x as paragraph))"
-    return rows.selectExpr("doc_id", "k", "row", f"inline(concat({alone}, {each}))")
+    return rows.selectExpr("doc_id", "k", "row", f"inline_outer(concat({alone}, {each}))")
 
 
 def _families(docs: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:
@@ -155,7 +155,7 @@ def _families(docs: DataFrame, id_col: str, text_col: str, model: Model) -> Data
     spark = docs.sparkSession
     units = _units(docs, id_col, text_col).withColumn("words", F.expr(_words("paragraph"))).where("size(words) > 0")
     grams = units.selectExpr("doc_id", "k", "row", "line", "last", f"{_grams('words')} as grams")
-    each = grams.selectExpr("doc_id", "k", "row", "line", "last", "size(grams) as n", "explode(grams) as gram")
+    each = grams.selectExpr("doc_id", "k", "row", "line", "last", "size(grams) as n", "explode_outer(grams) as gram")
 
     names = [f"f{i}" for i in range(len(model.families))]
     templates = [(family, t.split()) for family, some in TEMPLATES.items() for t in some]

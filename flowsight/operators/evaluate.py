@@ -6,8 +6,10 @@ derived from a confusion table of at most classes * classes rows, counted with m
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from flowsight.operators.prepare import feature_name, unpivot
 from flowsight.operators.ranking import running_totals
 from flowsight.schema import CLIP_VALUE, FEATURE_COLUMNS, N_CLASSES, NEAR_ZERO_STD
 
+# rows whose average gives the shift of co-moments
+SHIFT_ROWS = 1_000
+
 
 def confusion(scored: DataFrame, n_classes: int = N_CLASSES) -> DataFrame:
     """(y_true, y_pred, n, share) for every pair of classes; share is of the true class, 0 if absent.
@@ -332,26 +337,49 @@ def feature_histograms(
 def correlated_pairs(
     data: DataFrame, columns: Sequence[str] = FEATURE_COLUMNS, limit: float | None = 0.95
 ) -> DataFrame:
-    """(a, b, r) of feature pairs with abs(r) above ``limit``, over all rows.
+    """(a, b, r, n) of feature pairs with abs(r) above ``limit``; n rows have a number in both columns.
 
-    The correlation matrix - columns * columns numbers - is computed by the cluster in one job, over the rows
-    that have a number in every column. A pair with a constant column has no r; with ``limit=None`` it is
-    returned with a null r.
+    Each pair is judged on its own complete rows: a null or NaN in one column touches only the pairs of that column.
+    Every task adds up co-moments of all pairs by matrix products, one row per pair leaves it, and these are summed. A
+    pair of fewer than two rows, or with a column constant on them, has no r; with ``limit=None`` it is returned with a
+    null r.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
+    columns = list(columns)
+    k = len(columns)
+    numbers = data.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    # any shift near the data keeps the sums small; it does not change r
+    near = numbers.limit(SHIFT_ROWS).agg(*[F.avg(F.nanvl(c, F.lit(None))).alias(c) for c in numbers.columns]).first()
+    shift = np.array([0.0 if x is None else x for x in near])
+    left, right = np.triu_indices(k, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((6, k, k))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - shift
+            there = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x, nan=0.0)
+            square = x * x
+            # rows of both, sum and squares of the left where the right is there and the other way round, products
+            sums += [there.T @ there, x.T @ there, there.T @ x, square.T @ there, there.T @ square, x.T @ x]
+        parts = [pa.array(s[left, right]) for s in sums]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), *parts],
+            ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"],
+        )
 
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="_v", handleInvalid="skip").transform(
-        data.select(*columns)
+    total = numbers.mapInArrow(
+        run, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
+    ).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    spread = {c: f"(s{c}{c} - s{c} * s{c} / n)" for c in "xy"}
+    # what is left of a constant column is rounding
+    moves = " and ".join(f"{v} > 1e-12D * s{c}{c}" for c, v in spread.items())
+    bare = f"(sxy - sx * sy / n) / sqrt({spread['x']} * {spread['y']})"
+    r = f"case when n > 1 and {moves} then greatest(-1.0D, least(1.0D, {bare})) end"
+    names = f"array({', '.join(repr(c) for c in columns)})"
+    pairs = total.selectExpr(
+        f"{names}[i] as a", f"{names}[j] as b", f"{r} as r", "cast(n as bigint) as n"
     )
-    matrix = Correlation.corr(vectors.select("_v"), "_v").first()[0].toArray()
-    pairs = [
-        (columns[i], columns[j], None if matrix[i, j] != matrix[i, j] else float(matrix[i, j]))
-        for i in range(len(columns))
-        for j in range(i + 1, len(columns))
-        if limit is None or abs(matrix[i, j]) > limit
-    ]
-    return data.sparkSession.createDataFrame(pairs, "a string, b string, r double")
+    return pairs if limit is None else pairs.where(f"abs(r) > {float(limit)!r}D")
 
 
 def temperature_scan(scored: DataFrame, temperatures: Sequence[float]) -> DataFrame:

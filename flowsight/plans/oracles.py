@@ -604,6 +604,24 @@ ORACLES["correlated_groups"] = f"""with {FLOWS_IN}, w as (select *, start_us - s
 ORACLES["sweeps"] = f"""with {FLOWS_IN}, w as (select *, start_us - start_us % 3600000000 as window_us from flows)
   select 'port' as kind, window_us, src_ip, count(distinct dst_port) as targets, count(*) as flows from w group by all having count(distinct dst_port) >= 5
   union all select 'network', window_us, src_ip, count(distinct dst_ip), count(*) from w group by all having count(distinct dst_ip) >= 5"""
+def _moving(kind, value, least, who="src_ip"):
+    """By its meaning: at each flow, the distinct values of the window that ends with it."""
+    same = f"a.{who} = b.{who} and" if who else ""
+    key = f"a.{who}" if who else "''"
+    return f"""select '{kind}' as kind, who, min(at_us) as first_us, max(n) as most, arg_max(at_us, (n, -at_us)) as most_us from
+    (select {key} as who, a.start_us as at_us, count(distinct b.{value}) as n from flows a join flows b
+      on {same} b.start_us > a.start_us - 300000000 and b.start_us <= a.start_us group by all) where n >= {least} group by who"""
+
+
+_MOVING = [("port", "dst_port", 3), ("network", "dst_ip", 3), ("flows", "flow_id", 3), ("sources", "src_ip", 30, "")]
+ORACLES["moving_sweeps"] = f"with {FLOWS_IN} " + " union all ".join(_moving(*m) for m in _MOVING)
+ORACLES["moving_sweep_members"] = f"""with {FLOWS_IN}, g as ({_moving("port", "dst_port", 3)})
+  select src_ip, first_us, flow_id, dst_port, start_us from flows join g on who = src_ip and start_us > first_us - 300000000 and start_us <= first_us"""
+ORACLES["correlations_with_gaps"] = f"""with {LONG}, held as (select vec_id, pos, case when pos = 2 then 3.5 else x end as x from cells
+    where not (pos = 0 and vec_id % 7 = 0) and not (pos = 1 and vec_id % 5 = 0)),
+  r as (select a.pos as i, b.pos as j, count(*) as n, case when a.pos <> 2 and b.pos <> 2 then corr(a.x, b.x) end as r
+    from held a join held b on a.vec_id = b.vec_id and a.pos < b.pos group by 1, 2)
+  select 'f' || i as a, 'f' || j as b, round(r, 8) as r, n from r"""
 _OUTSIDE_FLOWS = (
     FLOWS_IN.replace("flows as (", "plain as (")
     + ", flows as (select * exclude (src_ip, dst_ip), "

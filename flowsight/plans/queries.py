@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from flowsight.operators import prepare as P
 from flowsight.operators import reports as R
 from flowsight.operators.assemble import assemble_flows, flow_diagnostics, with_flow_key
 from flowsight.operators.features import feature_vector, flow_info
+from flowsight.operators.moving import group_members, moving_groups
 from flowsight.operators.fusion import detect, sweep
 from flowsight.operators.rules import apply_rules, port_scan
 from flowsight.operators.scoring import (
@@ -826,6 +828,38 @@ def sweeps(spark, d):
     return one.unionByName(H.network_sweep(f, hour, 5).selectExpr("'network' as kind", "*"))
 
 
+@query
+def moving_sweeps(spark, d):
+    """Sources that reach three ports, or three addresses, or start three flows within any five minutes."""
+    f = I.flows_from_orders(spark, d)
+    parts = []
+    for kind, value in (("port", "dst_port"), ("network", "dst_ip"), ("flows", "flow_id")):
+        groups = moving_groups(f, ["src_ip"], value, H.WINDOW_US, 3)
+        parts.append(groups.selectExpr(f"'{kind}' as kind", "src_ip as who", "first_us", "most", "most_us"))
+    rush = moving_groups(f, [], "src_ip", H.WINDOW_US, 30)
+    parts.append(rush.selectExpr("'sources' as kind", "'' as who", "first_us", "most", "most_us"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def moving_sweep_members(spark, d):
+    """The flows of every source's first five minutes with three different ports."""
+    f = I.flows_from_orders(spark, d)
+    groups = moving_groups(f, ["src_ip"], "dst_port", H.WINDOW_US, 3)
+    members = group_members(f, groups, ["src_ip"], H.WINDOW_US)
+    return members.select("src_ip", "first_us", "flow_id", "dst_port", "start_us")
+
+
+@query
+def correlations_with_gaps(spark, d):
+    """Pearson r of feature pairs where every seventh value of f0 and every fifth of f1 is missing and f2 is constant."""
+    rows = I.feature_rows_from_embeddings(spark, d)
+    rows = rows.withColumn("f0", F.expr("if(vec_id % 7 = 0, null, f0)"))
+    rows = rows.withColumn("f1", F.expr("if(vec_id % 5 = 0, null, f1)")).withColumn("f2", F.lit(3.5))
+    pairs = E.correlated_pairs(rows, V, limit=None)
+    return pairs.selectExpr("a", "b", "round(r, 8) as r", "n")
+
+
 @query
 def lateral_flows(spark, d):
     return H.lateral_movement(_outside(spark, d)).select("flow_id", "src_ip", "dst_ip", "start_us")

@@ -175,3 +175,60 @@ def test_flow_key_is_the_same_both_ways(spark):
     k = with_flow_key(frame(spark, [packet(0), reply(1)]))
     assert k.select("lo_ip", "lo_port", "hi_ip", "hi_port").distinct().count() == 1
     assert [r.from_lo for r in k.orderBy("pkt_id").collect()] == [True, False]
+
+
+def test_duration_split_does_not_depend_on_batches():
+    """The splitter fed row by row, in small batches and at once."""
+    import numpy as np
+    import pandas as pd
+
+    from flowsight.operators.duration import MAX_PKTS, _splitter, reached
+
+    rng = np.random.default_rng(6)
+    parts = []
+    for key in range(4):
+        n = int(rng.integers(1, 120))
+        ts = np.cumsum(rng.integers(0, 40, n))
+        end = pd.array(np.where(rng.random(n) < 0.05, rng.choice([0, 2], n), -1), "Int32")
+        end[-1] = 4
+        end[end == -1] = pd.NA
+        start = np.append(True, end.notna()[:-1])
+        prev = pd.array(np.where(start, 0, np.append(0, ts[:-1])), "Int64")
+        prev[start] = pd.NA
+        rn = np.arange(1, n + 1)
+        parts.append(pd.DataFrame({
+            "k": key, "rn": rn, "ts_us": ts, "seg_prev_ts": prev, "flow_rn": 0, "reason": end, "tail_reason": end,
+            "seg_end": end, "block": 0, "open_rn": pd.array([pd.NA] * n, "Int64"), "open_ts": pd.array([pd.NA] * n, "Int64"),
+        }))
+        if key == 2:  # a block that the flow of packets -2 to 0, begun at time -30, enters
+            parts[-1].loc[:, "open_rn"], parts[-1].loc[:, "open_ts"] = -2, -30
+    rows = pd.concat(parts, ignore_index=True)
+    columns = ["k", "rn", "ts_us", "flow_rn", "reason", "tail_reason"]
+
+    def plain():
+        out, first, base = [], None, None
+        for r in rows.itertuples():
+            if r.Index == 0 or rows.k[r.Index - 1] != r.k:
+                first = None
+                if not pd.isna(r.open_rn):
+                    first, base = int(r.open_rn), int(r.open_ts)
+            if first is None:
+                first, base = r.rn, r.ts_us if pd.isna(r.seg_prev_ts) else r.seg_prev_ts
+            end = None if pd.isna(r.seg_end) else int(r.seg_end)
+            why, tail = end, None
+            if end != 0 and r.rn - first + 1 >= 9:
+                why, tail = MAX_PKTS, end
+            elif end != 0 and r.ts_us - base >= 100:
+                why, tail = 3, end
+            out.append((r.k, r.rn, r.ts_us, first, why, tail))
+            if why is not None:
+                first = None
+        return out
+
+    for size in (1, 2, 7, 1000):
+        split = _splitter(columns, ["k"], 100, 9)
+        got = pd.concat(split(rows[i : i + size].reset_index(drop=True) for i in range(0, len(rows), size)))
+        none = got.astype(object).where(got.notna(), None)
+        assert list(none.itertuples(index=False, name=None)) == plain()
+    marks = reached(np.array([True, False, False, False, False]), np.array([2, 2, 4, 5, 5]))
+    assert marks.tolist() == [True, False, True, False, True]

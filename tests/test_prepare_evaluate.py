@@ -1,9 +1,15 @@
 import math
+import random
 
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from flowsight.operators import evaluate as E
 from flowsight.operators import prepare as P
+from flowsight.operators.hunt import port_sweep
+from flowsight.operators.moving import group_members, moving_groups
 from flowsight.operators.ranking import number_rows, running_totals
 
 
@@ -75,14 +81,77 @@ def test_auc_against_all_pairs(spark):
     assert (last.tpr, last.fpr) == (1.0, 1.0)
 
 
-def test_numbers_and_totals_do_not_depend_on_blocks(spark):
-    df = spark.range(5000).selectExpr("id", "id % 3 as g", "cast((id * 7919) % 5003 as long) as v")
-    a = {r.id: r.number for r in number_rows(df, ["v", "id"]).collect()}
-    b = {r.id: r.number for r in number_rows(df, ["v", "id"], one_task_rows=100).collect()}
-    assert a == b and sorted(a.values()) == list(range(1, 5001))
-    x = {r.id: r.before_v for r in running_totals(df, "g", "v", ["v"]).collect()}
-    y = {r.id: r.before_v for r in running_totals(df, "g", "v", ["v"], one_task_rows=100).collect()}
-    assert x == y
+def test_numbers_and_totals_against_plain_python(spark):
+    # one value fills most of the table: ranges divide it by the row's place
+    df = spark.range(5000).selectExpr("id", "id % 3 as g", "cast(if(id % 10 < 7, 4, (id * 7919) % 5003) as long) as v")
+    rows = df.repartition(7)
+    got = sorted((r.number, r.v) for r in number_rows(rows, ["v"]).collect())
+    assert [n for n, _ in got] == list(range(1, 5001)) and [v for _, v in got] == sorted(v for _, v in got)
+    assert number_rows(rows, ["v"]).columns == ["id", "g", "v", "number"]
+    down = {r.id: r.number for r in number_rows(rows, ["g", F.desc("id")]).collect()}
+    assert down[4998] == 1 and down[1] == 3334 and down[2] == 5000
+    once = df.groupBy("g", "v").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    table = [tuple(r) for r in once.collect()]
+    want = {(g, v): tuple(sum(r[i] for r in table if r[0] == g and r[1] > v) for i in (2, 3)) for g, v, _, _ in table}
+    out = running_totals(once.repartition(5), "g", "v", ["n", "ids"])
+    assert {(r.g, r.v): (r.before_n, r.before_ids) for r in out.collect()} == want
+    assert number_rows(df.limit(0), ["v"]).count() == running_totals(once.limit(0), "g", "v", ["n"]).count() == 0
+
+
+def test_totals_read_their_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def tap(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(300).selectExpr("id", "id % 2 as g").mapInArrow(tap, "id long, g long")
+    assert running_totals(df, "g", "id", ["id"]).count() == 300 and seen.value == 300
+    assert number_rows(df, ["id"]).count() == 300 and seen.value == 600
+
+
+def moving(rows, window):
+    """Most distinct values in any window that ends at a sighting, per key: (first time of 3, most, when)."""
+    out = {}
+    for k in {r[0] for r in rows}:
+        own = sorted((t, v) for key, v, t in rows if key == k)
+        at = [(t, len({v for s, v in own if t - window < s <= t})) for t in sorted({t for t, _ in own})]
+        hits = [(t, n) for t, n in at if n >= 3]
+        if hits:
+            most = max(n for _, n in hits)
+            out[k] = (hits[0][0], most, next(t for t, n in hits if n == most))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_moving_windows_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    rows = [(r.choice("ab"), r.randrange(9), r.randrange(0, 900, r.choice([1, 10]))) for _ in range(250)] + [("c", 1, 5)] * 4
+    df = spark.createDataFrame(rows, "src_ip string, port int, start_us long")
+    for window in (7, 40, 300):
+        got = moving_groups(df, ["src_ip"], "port", window, 3)
+        assert {g.src_ip: (g.first_us, g.most, g.most_us) for g in got.collect()} == moving(rows, window)
+        members = group_members(df, got, ["src_ip"], window).collect()
+        for k, (first, _, _) in moving(rows, window).items():
+            assert sorted((m.port, m.start_us) for m in members if m.src_ip == k) == sorted(
+                (v, t) for key, v, t in rows if key == k and first - window < t <= first
+            )
+    alone = moving_groups(df, [], "port", 40, 3).collect()
+    assert [(g.first_us, g.most, g.most_us) for g in alone] == list(moving([("", v, t) for _, v, t in rows], 40).values())
+
+
+def test_a_burst_across_a_window_edge_is_found(spark):
+    edge = 300_000_000
+    df = spark.createDataFrame([("s", p, edge - 2 + p, p) for p in range(4)], "src_ip string, dst_port int, start_us long, flow_id int")
+    (hit,) = moving_groups(df, ["src_ip"], "dst_port", edge, 4).collect()
+    assert (hit.first_us, hit.most) == (edge + 1, 4)
+    assert port_sweep(df, edge, 4).count() == 0  # fixed windows cut it in two
+    assert moving_groups(df, ["src_ip"], "dst_port", 3, 4).count() == 0  # (t - 3, t] holds three of them
+    empty = df.limit(0)
+    assert moving_groups(empty, [], "dst_port", edge, 1).count() == 0
+    nulls = df.selectExpr("src_ip", "if(dst_port = 1, null, dst_port) as dst_port", "if(dst_port = 2, null, start_us) as start_us")
+    assert moving_groups(nulls, ["src_ip"], "dst_port", edge, 1).first().most == 2
 
 
 def test_confidence_and_confusions(spark):
@@ -139,3 +208,21 @@ def test_correlation_of_gaps_and_constants(spark):
     found = {(r.a, r.b): r.r for r in correlated_pairs(data, ["a", "b", "c"], None).collect()}
     assert abs(found["a", "b"] - 1.0) < 1e-9 and found["a", "c"] is None and found["b", "c"] is None
     assert [(r.a, r.b) for r in correlated_pairs(data, ["a", "b", "c"]).collect()] == [("a", "b")]
+
+
+def test_a_gap_touches_only_its_own_pairs(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(1e6, 1.0, (400, 4))
+    x[:, 1] += x[:, 0]
+    plain = pd.DataFrame(x, columns=list("abcd"))
+    gaps = plain.copy()
+    gaps.loc[gaps.index % 3 == 0, "a"] = np.nan
+    want = gaps.corr()
+    found = {}
+    for name, data in (("plain", plain), ("gaps", gaps)):
+        df = spark.createDataFrame(data).repartition(5)
+        found[name] = {(r.a, r.b): (r.r, r.n) for r in E.correlated_pairs(df, list("abcd"), None).collect()}
+    for (a, b), (r, n) in found["gaps"].items():
+        assert r == pytest.approx(want.loc[a, b], rel=1e-6) and n == (266 if a == "a" else 400)
+        if a != "a":
+            assert r == pytest.approx(found["plain"][a, b][0], rel=1e-12) and n == found["plain"][a, b][1]

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsight.session import broadcast_if_small
+from flowsight.session import broadcast_if_small, scratch_folder
 
 WINDOW = 10
 GRAM = 5
@@ -107,6 +107,10 @@ def contaminated(
         )
     # neighbouring fingerprints lead to the same window: keep each once, and only true ones
     found = found.join(broadcast_if_small(spans), ["span", "length"], "left_semi").distinct()
+    # read by words and by items below: written once, so that texts are taken apart once
+    folder = scratch_folder(docs.sparkSession)
+    found.write.parquet(f"{folder}/found")
+    found = docs.sparkSession.read.parquet(f"{folder}/found")
 
     covered = "size(array_distinct(flatten(collect_list(sequence(start, start + length - 1)))))"
     hit_words = found.groupBy("doc_id", "text_hash").agg(F.expr(f"cast({covered} as bigint)").alias("n_hit"))

@@ -310,8 +310,13 @@ def new_values(current: DataFrame, history: DataFrame, field: str) -> DataFrame:
     return fresh.join(seen, field, "left_anti")
 
 
-def byte_ratio_anomalies(current: DataFrame, ratio: float = 10.0) -> DataFrame:
-    """Flows that send at least ``ratio`` times the packets they receive; a one-way flow counts as receiving one."""
-    return current.filter(f"fwd_packets >= {float(ratio)!r}D * greatest(bwd_packets, 1)").select(
-        "flow_id", "fwd_packets", "bwd_packets"
+def byte_ratio_anomalies(
+    current: DataFrame,
+    ratio: float = 10.0,
+    sent: str = "total_length_of_fwd_packets",
+    received: str = "total_length_of_bwd_packets",
+) -> DataFrame:
+    """Flows that send at least ``ratio`` times the bytes they receive; a one-way flow counts as receiving one byte."""
+    return current.filter(f"{sent} > 0 and {sent} >= {float(ratio)!r}D * greatest(coalesce({received}, 0), 1)").select(
+        "flow_id", sent, received
     )

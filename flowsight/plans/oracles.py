@@ -663,7 +663,8 @@ ORACLES["anomalies"] = f"""with {FLOWS_IN}, past as (select * from flows where s
 ) + """ union all select 'duration', cast(flow_id as varchar), round((duration_us - duration_mean) / duration_std, 6) from cur, base
     where abs((duration_us - duration_mean) / duration_std) >= 1.5
   union all select 'port', cast(dst_port as varchar), cast(count(*) as double) from cur where dst_port not in (select dst_port from past) group by dst_port
-  union all select 'ratio', cast(flow_id as varchar), 0e0 from cur where fwd_packets >= 40 * greatest(bwd_packets, 1)"""
+  union all select 'ratio', cast(flow_id as varchar), 0e0 from cur where fwd_packets * avg_packet_size > 0
+    and fwd_packets * avg_packet_size >= 40 * greatest(bwd_packets * (1440 - avg_packet_size), 1)"""
 ORACLES["address_frequency"] = f"with {FLOWS_IN} select src_ip as value, count(*) as flows from flows group by 1"
 
 # -- state -------------------------------------------------------------------

@@ -895,7 +895,10 @@ def anomalies(spark, d):
     ports = H.new_values(now, past, "dst_port").selectExpr(
         "'port' as kind", "cast(dst_port as string) as what", "cast(flows as double) as sigma"
     )
-    ratio = H.byte_ratio_anomalies(now, 40.0).selectExpr(
+    sized = now.selectExpr(
+        "flow_id", "fwd_packets * avg_packet_size as sent", "bwd_packets * (1440 - avg_packet_size) as received"
+    )
+    ratio = H.byte_ratio_anomalies(sized, 40.0, "sent", "received").selectExpr(
         "'ratio' as kind", "cast(flow_id as string) as what", "0.0D as sigma"
     )
     return volume.unionByName(length).unionByName(ports).unionByName(ratio)

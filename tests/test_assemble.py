@@ -192,7 +192,7 @@ def test_duration_split_does_not_depend_on_batches():
         end = pd.array(np.where(rng.random(n) < 0.05, rng.choice([0, 2], n), -1), "Int32")
         end[-1] = 4
         end[end == -1] = pd.NA
-        start = np.append(True, end.notna()[:-1])
+        start = np.append(True, ~end.isna()[:-1])
         prev = pd.array(np.where(start, 0, np.append(0, ts[:-1])), "Int64")
         prev[start] = pd.NA
         rn = np.arange(1, n + 1)

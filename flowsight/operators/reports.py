@@ -13,9 +13,9 @@ from flowsight.schema import ATTACK_NAMES, N_CLASSES
 
 def flow_report(detections: DataFrame) -> DataFrame:
     """The ten display columns, numbered by flow id, plus the risk band."""
-    numbered = number_rows(detections, ["flow_id"])
-    return numbered.select(
-        "number",
+    # only what is shown goes through the ranking
+    views = detections.select(
+        "flow_id",
         "src_ip",
         "src_port",
         "dst_ip",
@@ -27,14 +27,16 @@ def flow_report(detections: DataFrame) -> DataFrame:
         source_name("source").alias("detection_source"),
         risk_band("combined_score", "is_flagged").alias("risk"),
     )
+    numbered = number_rows(views, ["flow_id"])
+    return numbered.select("number", *[c for c in views.columns if c != "flow_id"])
 
 
 def packet_report(packets: DataFrame, interface: str = "") -> DataFrame:
     """Number, interface, protocol, application, addresses; a zero port shows as "-"."""
     port = lambda c: F.when(F.col(c) != 0, F.col(c).cast("string")).otherwise("-")
-    numbered = number_rows(packets, ["ts_us", "pkt_id"])
-    return with_application(numbered).select(
-        "number",
+    views = with_application(packets).select(
+        "ts_us",
+        "pkt_id",
         F.lit(interface).alias("interface"),
         protocol_name("protocol").alias("protocol"),
         "application",
@@ -43,6 +45,8 @@ def packet_report(packets: DataFrame, interface: str = "") -> DataFrame:
         "dst_ip",
         port("dst_port").alias("dst_port"),
     )
+    numbered = number_rows(views, ["ts_us", "pkt_id"])
+    return numbered.select("number", *[c for c in views.columns if c not in ("ts_us", "pkt_id")])
 
 
 def explode_probabilities(detections: DataFrame) -> DataFrame:

@@ -37,21 +37,26 @@ def test_repetition_against_brute_force(spark):
     assert repetition(table(spark).limit(0)).count() == 0
 
 
-def test_packing_round_trip(spark):
+def _check_packing(spark, rows, cases):
+    """Every id of every text stands in one piece, pieces lie gapless, and what is not full is a power of two."""
     from tokenizers import Tokenizer
 
-    from flowsight.llm.packing import pack
-    from flowsight.llm.tokens import default_path
+    from flowsight.llm.vocabulary import default_path
 
     tokenizer = Tokenizer.from_file(default_path())
-    rows = pack(table(spark)).collect()
-    whole = Counter()
-    for doc, text in CASES:
+    left = Counter()
+    pieces = {}
+    for r in rows:
+        pieces.setdefault((r.doc_id, r.doc_tokens), {}).setdefault(r.start, []).append((r.length, r.ids_crc32))
+    for doc, text in cases:
         ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
-        for at in range(0, len(ids), 1024):
-            piece = ids[at : at + 1024]
-            whole[doc, at, len(piece), zlib.crc32(piece.tobytes()), len(ids)] += 1
-    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows) == whole
+        at, mine = 0, pieces[doc, len(ids)]
+        while at < len(ids):
+            fits = [p for p in mine[at] if zlib.crc32(ids[at : at + p[0]].tobytes()) == p[1]]
+            mine[at].remove(fits[0])
+            at += fits[0][0]
+        assert at == len(ids)
+    assert not any(p for starts in pieces.values() for p in starts.values())
     sequences = {}
     for r in rows:
         sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -60,10 +65,91 @@ def test_packing_round_trip(spark):
         for offset, length in sorted(parts):
             assert offset == at
             at += length
-        assert at <= 1024
+        left[at] += 1
+        assert at <= 1024 and at & (at - 1) == 0
+    return left
+
+
+def test_packing_round_trip(spark):
+    from flowsight.llm.packing import pack
+
+    _check_packing(spark, pack(table(spark)).collect(), CASES)
+    one = _check_packing(spark, pack(table(spark).coalesce(1)).collect(), CASES)
+    assert all(n == 1 for size, n in one.items() if size < 1024)
     assert pack(table(spark).limit(0)).count() == 0
 
 
+def test_packing_with_few_open_windows():
+    import random
+
+    from flowsight.llm.packing import Piece, _fill, powers, settle
+
+    rng = random.Random(3)
+    for _ in range(200):
+        sizes = [rng.randrange(1, 1024) for _ in range(rng.randrange(12))]
+        windows = [[Piece(i, n, 0, np.arange(n, dtype=np.uint32) + 10_000 * i)] for i, n in enumerate(sizes)]
+        whole = sorted(x for w in windows for p in w for x in p.ids.tolist())
+        full, left = settle(windows)
+        assert all(_fill(w) == 1024 for w in full) and _fill(left) < 1024
+        assert len(full) == sum(sizes) // 1024
+        dealt = full + list(powers(left))
+        assert sorted(x for w in dealt for p in w for x in p.ids.tolist()) == whole
+        assert all(p.ids[0] == 10_000 * p.doc_id + p.start for w in dealt for p in w)
+
+
+def test_levels_keep_the_least_sum_of_squares():
+    import random
+
+    from flowsight.llm.packing import Levels
+
+    window, rng = 12, random.Random(5)
+    levels, counts = Levels(window), [0] * window
+    fills = {}
+    for _ in range(2_000):
+        size = rng.randrange(1, window + 1)
+        costs = []
+        for level in [x for x in range(1, window) if counts[x] and x + size <= window] + [0]:
+            after = counts.copy()
+            if level:
+                after[level] -= 1
+            if level + size < window:
+                after[level + size] += 1
+            costs.append((sum(x * x for x in after), level == 0, level, after))
+        _, _, level, counts = min(costs)
+        sequence, offset = levels.place(size)
+        assert offset == level == fills.get(sequence, 0)
+        fills[sequence] = offset + size
+        assert levels.counts[:window].tolist() == counts
+
+
+def test_units_are_encoded_as_whole_texts(monkeypatch):
+    import random
+
+    from tokenizers import Tokenizer
+
+    from flowsight.llm import text as T
+    from flowsight.llm import vocabulary
+
+    monkeypatch.setattr(vocabulary, "UNITS", 300)
+    monkeypatch.setattr(vocabulary, "JOINED", 4)
+    rng = random.Random(11)
+    parts = ["a", "word", "'ll", "don't", "é", "naïve", "12", "3.5", "...", "\u2014", "\u3000", "\u00a0", "\x1c", "\t", "\r"]
+    parts += ["\n", "\n\n", " ", "  ", " x", " yy", "<|endoftext|>", "😀", "\u0301", "中文"] + [f" w{i}" for i in range(400)]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(1_500)]
+    texts += [" ".join(rng.choices(parts[:12], k=30)) for _ in range(300)]
+    import pyarrow as pa
+
+    for plain in (False, True):
+        model = Tokenizer.from_file(vocabulary.default_path())
+        model.encode_special_tokens = plain
+        units = vocabulary.UnitEncoder(vocabulary.default_path(), plain)
+        for at, to, slab in T.slabs(pa.array(texts), 4_000):
+            ids, first = units.encode(slab.data, slab.offsets)
+            for i in range(at, to):
+                want = model.encode(texts[i], add_special_tokens=False).ids
+                assert ids[first[i - at] : first[i - at + 1]].tolist() == want
+
+
 def test_keep_good_keeps_columns(spark):
     from flowsight.llm.quality import keep_good
 

@@ -163,6 +163,14 @@ CSV_ROWS_FROM_EVENTS = [
     "'8' as `ICMP Type`",
 ]
 
+# the files named in ``path`` above and the folders they lie in
+CSV_FOLDERS = {
+    "Benign/a.csv": "Benign",
+    "Malicious/SYN Flood/b.csv": "Malicious/SYN Flood",
+    "Malicious/Odd Folder/c.csv": "Malicious/Odd Folder",
+    "Malicious/d.csv": "Malicious",
+}
+
 SCORED_FROM_EMBEDDINGS = [
     "vec_id",
     "label as y_true",

@@ -7,7 +7,7 @@ from flowsight.operators import prepare as P
 from flowsight.operators.rules import AUTH_SERVICES, SUSPICIOUS_PORTS
 from flowsight.plans import inputs as I
 from flowsight.plans.queries import FEATURE_GROUPS, ORDER, RAW_LABELS, SPLIT_US, TIMEOUT_US, feature_digits
-from flowsight.schema import ATTACK_NAMES, FEATURE_COLUMNS
+from flowsight.schema import ATTACK_NAMES, CLIP_VALUE, FEATURE_COLUMNS
 
 ORACLES: dict[str, str] = {}
 
@@ -686,3 +686,12 @@ ORACLES["streamed_port_scans"] = f"""with {PACKETS},
   seen as (select (max(ts_us) // 1000 - 20000) * 1000 as mark from packets)
   select window_us, src_ip, count(distinct port) as distinct_ports, round(least(1, count(distinct port) / 9e0), 6) as severity
   from w, seen where window_us + 120000000 <= mark group by all having count(distinct port) >= 3"""
+
+ORACLES["csv_tree"] = f"""select * exclude (path, pkt_id), split_part(path, '/', -2) as folder from ({ORACLES['csv_packets']})"""
+ORACLES["packet_table"] = f"with {PACKETS} select * from packets"
+ORACLES["feed_folder"] = ORACLES["feed_entries"]
+ORACLES["training_set"] = f"""with {SPLIT}, {LONG}, sums as (select vec_id, sum((pos + 1) * x) as total from cells group by vec_id)
+  select vec_id, label, split, round(total, 5) as total from splits join sums using (vec_id)"""
+ORACLES["norm_file"] = f"""with {SPLIT}, {LONG}, fit as (select pos, avg(x) as mean, case when stddev_pop(x) < 1e-8 then 1 else stddev_pop(x) end as std
+  from cells join splits using (vec_id) where split = 'train' group by pos)
+  select pos, 'f' || pos as feature, round(mean, 8) as mean, round(std, 8) as std, cast({CLIP_VALUE} as double) as clip from fit"""

@@ -30,10 +30,10 @@ from flowsight.operators.threats import feed_inventory, match_threats
 from flowsight.operators.train import predict, train_classifier, with_class_weight
 from flowsight.plans import inputs as I
 from flowsight.plans.detection import analyse, reanalyse
-from flowsight.schema import FEATURE_COLUMNS, FEATURE_NAMES
-from flowsight.sources.feeds import parse_feed_lines
+from flowsight.schema import ATTACK_NAMES, FEATURE_COLUMNS, FEATURE_NAMES, N_CLASSES
+from flowsight.sources.feeds import parse_feed_lines, read_feeds, read_norm
 from flowsight.session import scratch_folder
-from flowsight.sources.packets import parse_packet_rows, with_event_time
+from flowsight.sources.packets import parse_packet_rows, read_packet_csv, read_packets, with_event_time
 from flowsight.sources.sinks import (
     alert_json,
     alert_line,
@@ -42,6 +42,7 @@ from flowsight.sources.sinks import (
     leef_line,
     syslog_severity,
     to_events,
+    write_training_set,
 )
 from flowsight.streaming.counters import RunCounters, counted
 from flowsight.streaming.live import LiveDetection, TableSink, stream_port_scan
@@ -99,6 +100,68 @@ def feed_counts(spark, d):
     return feed_inventory(_feeds(spark, d))
 
 
+# -- files: what the tables hold is written out in the shape of each source and read back ----
+
+
+@query
+def csv_tree(spark, d):
+    """A folder per class; every other file has its columns in reverse and one that the rest lacks."""
+    rows, root = I.csv_rows_from_events(spark, d), scratch_folder(spark)
+    columns = [c for c in rows.columns if c not in ("path", "pkt_id")]
+    for number, (name, folder) in enumerate(I.CSV_FOLDERS.items()):
+        part = rows.where(F.col("path") == f"/set/{name}").select(*columns)
+        if number % 2:
+            part = part.withColumn("note", F.lit("n")).select("note", *reversed(columns))
+        part.write.mode("append").option("header", "true").csv(f"{root}/{folder}")
+    packets = parse_packet_rows(read_packet_csv(spark, root, mixed=True))
+    return packets.withColumn("folder", F.expr("element_at(split(path, '/'), -2)")).drop("path", "pkt_id")
+
+
+@query
+def packet_table(spark, d):
+    folder = f"{scratch_folder(spark)}/packets"
+    I.packets_from_events(spark, d).write.parquet(folder)
+    return read_packets(spark, folder)
+
+
+@query
+def feed_folder(spark, d):
+    """One folder of text files per feed; the files' own names are Spark's, so the folder names the feed."""
+    root = scratch_folder(spark)
+    lines = I.feed_lines_from_supplier(spark, d)
+    lines.withColumnRenamed("feed_name", "feed").write.partitionBy("feed").text(root)
+    feeds = [r.feed for r in spark.read.text(root).select("feed").distinct().orderBy("feed").collect()]
+    each = [read_feeds(spark, f"{root}/feed={f}").withColumn("feed_name", F.lit(f)) for f in feeds]
+    return reduce(DataFrame.unionByName, each)
+
+
+def _training_set(spark, d):
+    """Folder of a training set: rows with their split, parameters fitted on the training rows, class weights."""
+    rows = I.feature_rows_from_embeddings(spark, d)
+    split, out = P.stratified_split(rows, order=ORDER, key=("vec_id",)), scratch_folder(spark)
+    split.write.parquet(f"{out}/split")
+    split = spark.read.parquet(f"{out}/split")
+    train = split.where("split = 'train'")
+    names = {name: code for code, name in enumerate(ATTACK_NAMES[:N_CLASSES])}
+    write_training_set(split, P.fit_normaliser(train, V), P.class_weights(train), f"{out}/set", names)
+    return f"{out}/set"
+
+
+@query
+def training_set(spark, d):
+    """Rows as they are read back from the written set, all features summed up by position."""
+    rows = spark.read.parquet(f"{_training_set(spark, d)}/data")
+    total = "+".join(f"{i + 1} * {c}" for i, c in enumerate(V))
+    return rows.selectExpr("vec_id", "label", "split", f"round({total}, 5) as total")
+
+
+@query
+def norm_file(spark, d):
+    """Scaling parameters as they are read back from the written set's metadata."""
+    norm, clip = read_norm(spark, f"{_training_set(spark, d)}/metadata")
+    return norm.selectExpr("pos", "feature", "round(mean, 8) as mean", "round(std, 8) as std").withColumn("clip", F.lit(clip))
+
+
 # -- scalar functions --------------------------------------------------------
 
 

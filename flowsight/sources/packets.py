@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,24 +38,56 @@ CSV_COLUMNS = [
 ]
 
 
-def read_packet_csv(spark: SparkSession, path: str) -> DataFrame:
+_GLOB = re.compile(r"[\\*?\[\]{},]")
+# file paths come URL-encoded ("SYN%20Flood"); "+" is a plain character in them
+_PATH = "url_decode(replace(_metadata.file_path, '+', '%2B'))"
+
+
+def _csv_files(spark: SparkSession):
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
+
+
+def csv_layouts(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Header line -> files below ``path`` that begin with it; files without a line are left out.
+
+    The first split of every file is read once as text. The driver holds the file names, as Spark's own listing does.
+    """
+
+    def first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the rows of a file stand in order and together within a task
+        last = None
+        for batch in batches:
+            names = batch.column(0).to_numpy(zero_copy_only=False)
+            if not len(names):
+                continue
+            new = np.concatenate([[names[0] != last], names[1:] != names[:-1]])
+            last = names[-1]
+            yield batch.filter(pa.array(new))
+
+    lines = _csv_files(spark).text(path).where("_metadata.file_block_start = 0").selectExpr(f"{_PATH} as file", "value")
+    heads = lines.mapInArrow(first_lines, "file string, header string")
+    found: dict[str, list[str]] = {}
+    for file, header in heads.orderBy("file").collect():
+        found.setdefault(header.removeprefix("\ufeff").rstrip("\r"), []).append(file)
+    return found
+
+
+def read_packet_csv(spark: SparkSession, path: str, mixed: bool = False) -> DataFrame:
     """Every ``*.csv`` below ``path`` as text columns, with the file path and the row's place in it.
 
-    One header layout per call: ``enforceSchema`` is off, so a file with another header fails loudly
-    instead of being read into the wrong columns.
+    ``enforceSchema`` is off, so a file with another header fails loudly instead of being read into the wrong columns.
+    With ``mixed`` files are first grouped by their header; each group is read with its own, columns are put together
+    by name, and a column that a file lacks is null there.
     """
-    raw = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.csv")
-        .option("header", "true")
-        .option("enforceSchema", "false")
-        .csv(path)
-    )
-    # file paths come URL-encoded ("SYN%20Flood"); "+" is a plain character in them
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return raw.withColumns(
-        {"path": path, "pkt_id": F.monotonically_increasing_id()}
-    )
+
+    def read(paths: str | list[str]) -> DataFrame:
+        raw = _csv_files(spark).option("header", "true").option("enforceSchema", "false").csv(paths)
+        return raw.withColumn("path", F.expr(_PATH))
+
+    # names are taken as they are, not as patterns
+    layouts = [[_GLOB.sub(r"\\\g<0>", f) for f in files] for files in csv_layouts(spark, path).values()] if mixed else []
+    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(read, layouts or [path]))
+    return raw.withColumn("pkt_id", F.monotonically_increasing_id())
 
 
 def _text(df: DataFrame, name: str):

@@ -191,3 +191,23 @@ def test_interpretation_and_user_model(spark):
     out = score_with_model(df, load, ["a"]).orderBy("flow_id").collect()
     assert [r.classification for r in out] == [0, 1]
     assert ACK == 16
+
+
+def test_csv_files_of_different_headers(spark, tmp_path):
+    from flowsight.sources.packets import csv_layouts, read_packet_csv
+
+    (tmp_path / "a [1]").mkdir()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a [1]" / "x.csv").write_text("IP Source,Length\n1.1.1.1,5\n2.2.2.2,6\n")
+    (tmp_path / "b" / "y.csv").write_text("﻿Length,IP Source,Extra\r\n7,3.3.3.3,e\r\n")
+    (tmp_path / "b" / "z.csv").write_text("IP Source,Length\n4.4.4.4,8\n")
+    (tmp_path / "b" / "empty.csv").write_text("")
+    (tmp_path / "b" / "note.txt").write_text("not a table\n")
+    layouts = csv_layouts(spark, str(tmp_path))
+    assert sorted(map(len, layouts.values())) == [1, 2]
+    rows = read_packet_csv(spark, str(tmp_path), mixed=True)
+    got = {(r["IP Source"], r["Length"], r["Extra"], r.path.rsplit("/", 2)[1]) for r in rows.collect()}
+    assert got == {
+        ("1.1.1.1", "5", None, "a [1]"), ("2.2.2.2", "6", None, "a [1]"), ("3.3.3.3", "7", "e", "b"), ("4.4.4.4", "8", None, "b"),
+    }
+    assert rows.select("pkt_id").distinct().count() == 4

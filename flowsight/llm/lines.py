@@ -7,9 +7,8 @@ pair is a candidate only if lengths, positions and a 64-bit map of the words lea
 First each set is tried against the first one under each of its words, which settles groups of near copies with one
 link a line; the rest is then tried against all earlier sets. A very frequent word is cut into pairs of parts.
 
-Lines are separated by ``\\n``; those of fewer than ``min_words`` distinct words always stay. The query and the pipeline
-compare every line with a word (``min_words=1``): up to three words 0.8 means equal sets, which one grouping by set_id
-finds without the join. "Earlier" is by doc_id
+Lines are separated by ``\\n``. Every line with a word is compared, unless a greater ``min_words`` spares lines of fewer
+distinct words: up to three words 0.8 means equal sets, which one grouping by set_id finds without the join. "Earlier" is by doc_id
 (null first), then the hash of the text, then the line number. Rows of equal doc_id and text are one document and
 get the same answer. Null text has no lines and stays null. Sets are judged on the input, not on what is left.
 """
@@ -28,7 +27,7 @@ from flowsight.llm import text as T
 from flowsight.llm.runs import map_runs, split_hot
 from flowsight.session import broadcast_if_small, scratch_folder
 
-MIN_WORDS = 5
+MIN_WORDS = 1
 # sets of fewer words are alike only if equal
 JOIN_WORDS = 4
 COUNTERS = 1 << 20

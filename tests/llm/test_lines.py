@@ -11,8 +11,8 @@ def brute(rows):
         kept = []
         for line in (text or "").split("\n") if text is not None else []:
             words = frozenset(re.findall(r"[^\x20\x09-\x0D]+", line))
-            gone = len(words) >= 5 and any(5 * len(words & s) >= 4 * len(words | s) for s in seen)
-            if len(words) >= 5:
+            gone = any(5 * len(words & s) >= 4 * len(words | s) for s in seen)
+            if words:
                 seen.append(words)
             if not gone:
                 kept.append(line)

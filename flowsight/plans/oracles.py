@@ -481,7 +481,7 @@ _FIT = f"{LONG}, fit as (select pos, avg(x) as mean, case when stddev_pop(x) < 1
 ORACLES["fitted_normaliser"] = f"with {_FIT} select cast(pos as int) as pos, 'f' || pos as feature, round(mean, 8) as mean, round(std, 8) as std from fit"
 _Z = f"{_FIT}, z as (select vec_id, pos, x, (x - mean) / std as raw, greatest(-2e0, least(2e0, (x - mean) / std)) as z from cells join fit using (pos))"
 ORACLES["normalised_rows"] = f"with {_Z} select vec_id, " + ", ".join(
-    f"round(max(z) filter (pos = {i}), 5) as f{i}" for i in range(8)
+    f"round(max(z) filter (pos = {i}), 5) as f{i}" for i in range(64)
 ) + " from z group by vec_id"
 ORACLES["normalised_vectors"] = f"with {_Z} select vec_id, round(sum(abs(z)), 4) as total from z group by vec_id"
 ORACLES["clipped_cells"] = f"with {_Z} select count(*) filter (abs(raw) > 2) as clipped, count(*) as cells from z"
@@ -545,10 +545,11 @@ ORACLES["missed_attacks"] = f"""with {SCORED}, c as (select y_true, count(*) fil
 ORACLES["top_confusions"] = f"""with {SCORED}, c as (select y_true, y_pred, count(*) as n from scored where y_true <> y_pred group by 1, 2),
   r as (select *, cast(row_number() over (partition by y_true order by n desc, y_pred) as int) as place, sum(n) over (partition by y_true) as errs from c)
   select y_true, y_pred, n, place, round(100e0 * n / errs, 8) as error_pct from r where place <= 3"""
-ORACLES["quality_audit"] = """with r as (select case when vec_id % 3 = 0 then 'val' else 'train' end as split, vec_id % 17 = 0 as nan,
-    vec_id % 17 <> 0 and vec_id % 19 = 0 as inf, cast(embedding[1] as double) as f0, cast(embedding[2] as double) * 100 as f1 from embeddings)
-  select split, count(*) filter (nan) as nan_cells, count(*) filter (inf) as inf_cells,
-  count(*) filter (inf or (not nan and abs(f0) > 10)) + count(*) filter (abs(f1) > 10) as beyond_cells, cast(1 as int) as flat_columns from r group by split"""
+ORACLES["quality_audit"] = f"""with {LONG}, r as (select case when vec_id % 3 = 0 then 'val' else 'train' end as split, pos, pos = 0 and vec_id % 17 = 0 as nan,
+    pos = 0 and vec_id % 17 <> 0 and vec_id % 19 = 0 as inf, case pos when 1 then 100 * x when 2 then 3.5e0 else x end as x from cells),
+  flat as (select split, pos from r where pos <> 0 group by split, pos having stddev_pop(x) < 1e-8)
+  select split, count(*) filter (nan) as nan_cells, count(*) filter (inf) as inf_cells, count(*) filter (inf or (not nan and abs(x) > 10)) as beyond_cells,
+  cast((select count(*) from flat where flat.split = r.split) as int) as flat_columns from r group by split"""
 _STATS = f"""{LONG}, m as (select pos, avg(x) as mu, stddev_pop(x) as sd, min(x) as lo, max(x) as hi from cells group by pos),
 hm as (select pos, avg(power((x - mu) / sd, 3)) as skew, avg(power((x - mu) / sd, 4)) - 3 as kurt from cells join m using (pos) group by pos)"""
 ORACLES["feature_stats"] = f"""with {_STATS} select cast(pos as int) as pos, 'f' || pos as feature, round(mu, 6) as mean, round(sd, 6) as std, round(lo, 6) as min,

@@ -546,13 +546,16 @@ ORDER = "(vec_id * 48271L + 11L) % 2147483647L"
 
 @query
 def cleaned_rows(spark, d):
-    """Rows with an infinite or NaN cell are dropped; such cells are planted by row id."""
+    """Rows with an infinite or NaN cell are dropped; one such cell a row is planted by row id, over all columns."""
     rows = I.feature_rows_from_embeddings(spark, d).selectExpr(
         "vec_id",
-        "case when vec_id % 17 = 0 then double('NaN') when vec_id % 19 = 0 then double('Infinity') else f0 end as f0",
-        "f1",
+        *[
+            f"case when vec_id % 17 = 0 and vec_id % 64 = {i} then double('NaN')"
+            f" when vec_id % 19 = 0 and vec_id * 3 % 64 = {i} then double('-Infinity') else {c} end as {c}"
+            for i, c in enumerate(V)
+        ],
     )
-    return P.clean(rows, ["f0", "f1"]).select("vec_id")
+    return P.clean(rows, V).select("vec_id")
 
 
 @query
@@ -592,7 +595,7 @@ def fitted_normaliser(spark, d):
 def normalised_rows(spark, d):
     rows, means, stds = _fitted(spark, d)
     z = normalise(rows, means, stds, 2.0, V)
-    return z.selectExpr("vec_id", *[f"round({c}, 5) as {c}" for c in V[:8]])
+    return z.selectExpr("vec_id", *[f"round({c}, 5) as {c}" for c in V])
 
 
 @query
@@ -747,8 +750,9 @@ def quality_audit(spark, d):
         "case when vec_id % 17 = 0 then double('NaN') when vec_id % 19 = 0 then double('Infinity') else f0 end as f0",
         "f1 * 100 as f1",
         "3.5D as f2",
+        *V[3:],
     )
-    return E.quality_audit(rows, ["f0", "f1", "f2"])
+    return E.quality_audit(rows, V)
 
 
 @query

@@ -132,10 +132,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component; a row without an id stays."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """One row of each component: that of the least id, null ids last; of equal ids, any one row."""
+    spark, folder = docs.sparkSession, scratch_folder(docs.sparkSession)
+    # ids may be null or repeated, so rows are told apart by a number that is written once
+    docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("n")).write.parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    own, body = F.col(f"row.`{id_col}`").cast("long"), F.col(f"row.`{text_col}`")
+    fingerprints(rows.select("n", body.alias("text")), "n").write.parquet(f"{folder}/prints")
+    found = components(spark.read.parquet(f"{folder}/prints")).selectExpr("doc_id as n", "component_id")
+    places = found.join(rows.select("n", own.alias("id")), "n")
+    stays = places.groupBy("component_id").agg(F.min(F.struct(F.expr("id is null as absent"), "id", "n")).alias("least"))
+    return rows.join(stays.selectExpr("least.n as n"), "n", "left_semi").select("row.*")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

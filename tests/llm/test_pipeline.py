@@ -2,11 +2,11 @@ import random
 
 from tests.llm import test_lines, test_simhash
 from tests.llm.test_contamination import words
+from tests.llm.test_rows import _check_packing
 
 
 def test_run_against_brute_force(spark, tmp_path):
     import corpus_pipeline
-    from flowsight.llm.packing import pack
     from flowsight.llm.quality import repetition
 
     r = random.Random(11)
@@ -28,9 +28,10 @@ def test_run_against_brute_force(spark, tmp_path):
     spans = {tuple(words(t)[i : i + 10]) for _, t in items for i in range(16)}
     clean = {d for d in one if not any(tuple(words(left[d])[i : i + 10]) in spans for i in range(len(words(left[d]))))}
     assert one - clean == {43}
-    want = pack(spark.createDataFrame([(d, left[d]) for d in clean], "doc_id long, text string")).collect()
-    key = lambda x: (x.doc_id, x.start, x.length, x.ids_crc32, x.doc_tokens)
-    assert sorted(map(key, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(key, want))
+    # where pieces are cut depends on the partitions; their ids, places and sequences do not
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {x.doc_id for x in out} == clean
+    _check_packing(spark, out, [(d, left[d]) for d in clean])
 
     docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")

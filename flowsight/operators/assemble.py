@@ -7,8 +7,8 @@ A *segment* is what idle timeout and FIN/RST cut; a *flow* is a piece of at most
 Two physical routes give the same labels:
 
 * ordinary keys: windows over the canonical key. One shuffle, one sort, any number of window functions.
-* hot keys (a flood can put a third of all packets on one 5-tuple): the key is cut into time blocks of
-  about equal depth, each block is labelled alone, and a summary of one row per block - a bounded table -
+* hot keys (a flood can put a third of all packets on one 5-tuple): the key is cut by (time, packet id) into
+  blocks of about equal depth, each block is labelled alone, and a summary of one row per block - a bounded table -
   carries the open segment from block to block. The packets are then regrouped by flow, at most
   ``max_packets`` rows each, so that no task ever holds a whole hot key.
 """
@@ -44,7 +44,6 @@ FIN_RST, MAX_PKTS, TIMEOUT, DURATION, FINALIZE = range(len(REASONS))
 HOT_ROWS = 2_000_000
 HOT_SHARE = 10_000
 SAMPLE_ROWS = 10_000_000
-MAX_BLOCKS = 4096
 
 
 def _flow_key() -> list[str]:
@@ -85,16 +84,18 @@ def keyed_packets(packets: DataFrame, scope: Sequence[str]) -> DataFrame:
 # Hot keys
 # ---------------------------------------------------------------------------
 
+_PLACE = "struct<ts_us: bigint, pkt_id: bigint>"
+
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Keys too large for one task, each with the times that cut it into blocks."""
+    """Keys too large for one task, each with the (time, packet id) places that cut it into blocks."""
 
     columns: list[str]
-    rows: list[tuple]  # key values + sorted list of block start times
+    rows: list[tuple]  # key values + sorted list of the places where blocks start
 
     def table(self, df: DataFrame) -> DataFrame:
-        """Cut times in two levels, so that finding a block costs two short array scans."""
+        """Cuts in two levels, so that finding a block costs two short array scans."""
         spark, fields = df.sparkSession, df.schema
         out = []
         for *key, cuts in self.rows:
@@ -103,7 +104,7 @@ class HotKeys:
             out.append((*key, [g[0] for g in groups], groups, width))
         types = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in self.columns)
         return spark.createDataFrame(
-            out, f"{types}, heads array<bigint>, cuts array<array<bigint>>, width int"
+            out, f"{types}, heads array<{_PLACE}>, cuts array<array<{_PLACE}>>, width int"
         )
 
 
@@ -114,7 +115,8 @@ def find_hot_keys(
 
     The row count alone (file footers, for a parquet scan) settles small inputs. Larger ones are sampled
     to *find* the keys; labels do not depend on which keys are found or where they are cut. At most
-    HOT_SHARE keys and 2 * HOT_SHARE blocks can come back, whatever the input size.
+    HOT_SHARE keys and 2 * HOT_SHARE blocks can come back, whatever the input size. Cuts fall between
+    packets in (time, packet id) order, so packets of one key and one time are divided too.
     """
     columns = list(columns)
     total = keyed.count()
@@ -122,37 +124,33 @@ def find_hot_keys(
     if total <= limit:
         return None
     share = min(1.0, SAMPLE_ROWS / total)
-    probe = keyed.select(*columns, "ts_us")
+    probe = keyed.select(*columns, "ts_us", "pkt_id")
     if share < 1.0:
         probe = probe.sample(fraction=share, seed=7)
     counts = probe.groupBy(*columns).count().filter(F.col("count") > limit * share)
-    hot = {tuple(r[c] for c in columns): r["count"] for r in counts.collect()}
+    hot = [(*(r[c] for c in columns), r["count"] / math.ceil(r["count"] / (limit * share))) for r in counts.collect()]
     if not hot:
         return None
-    names = probe.sparkSession.createDataFrame(
-        list(hot), probe.select(*columns).schema
-    )
-    most = max(hot.values()) / (limit * share)
-    grid = min(MAX_BLOCKS, 1 << math.ceil(math.log2(max(2.0, most))))
-    steps = [i / grid for i in range(1, grid)]
-    times = (
-        probe.join(F.broadcast(names), columns)
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in probe.select(*columns).schema]
+    depths = probe.sparkSession.createDataFrame(hot, ", ".join([*types, "depth double"]))
+    order = over(columns)
+    cuts = (
+        probe.join(F.broadcast(depths), columns)
+        .selectExpr(*columns, "struct(ts_us, pkt_id) as place", "depth", f"row_number() {order} - 1 as n")
+        .filter("n > 0 and floor(n / depth) > floor((n - 1) / depth)")
         .groupBy(*columns)
-        .agg(F.percentile_approx("ts_us", steps, 4 * grid).alias("times"))
+        .agg(F.sort_array(F.collect_set("place")).alias("places"))
     )
-    rows = []
-    for r in times.collect():
-        key = tuple(r[c] for c in columns)
-        blocks = min(grid, math.ceil(hot[key] / (limit * share)))
-        every = grid / blocks
-        picked = {r["times"][min(grid - 2, round(i * every) - 1)] for i in range(1, blocks)}
-        rows.append((*key, sorted(picked) or [r["times"][0]]))
+    rows = [
+        (*(r[c] for c in columns), [(x["ts_us"], x["pkt_id"]) for x in r["places"]]) for r in cuts.collect()
+    ]
     return HotKeys(columns, rows)
 
 
 def _block() -> Column:
-    group = F.size(F.filter("heads", lambda h: h <= F.col("ts_us")))
-    inside = F.size(F.filter(F.element_at("cuts", group), lambda c: c <= F.col("ts_us")))
+    own = F.struct("ts_us", "pkt_id")
+    group = F.size(F.filter("heads", lambda h: h <= own))
+    inside = F.size(F.filter(F.element_at("cuts", group), lambda c: c <= own))
     return F.when(group == 0, F.lit(0)).otherwise((group - 1) * F.col("width") + inside)
 
 

@@ -71,19 +71,21 @@ def search_filter(
 def search(
     flows: DataFrame,
     order_by: Sequence[str] = ("start_us desc", "flow_id"),
-    limit: int = 1000,
+    limit: int | None = None,
     offset: int = 0,
     **criteria,
 ) -> DataFrame:
-    """One page of matching flows. Sort with limit is a top-k per partition, then one merge."""
+    """Matching flows in order; ``limit`` makes it one page, a top-k per partition and one merge."""
     found = flows.filter(search_filter(**criteria))
-    return found.orderBy(*[F.expr(o.split()[0]).desc() if o.endswith("desc") else F.expr(o) for o in order_by]).offset(offset).limit(limit)
+    found = found.orderBy(*[F.expr(o.split()[0]).desc() if o.endswith("desc") else F.expr(o) for o in order_by])
+    found = found.offset(offset) if offset else found
+    return found if limit is None else found.limit(limit)
 
 
-def distinct_values(flows: DataFrame, field: str, limit: int = 100) -> DataFrame:
-    """The most frequent values of a field first: a report of ``limit`` rows."""
-    counted = flows.groupBy(field).agg(F.count(F.lit(1)).alias("flows"))
-    return counted.orderBy(F.desc("flows"), field).limit(limit)
+def distinct_values(flows: DataFrame, field: str, limit: int | None = None) -> DataFrame:
+    """All values of a field, the most frequent first; ``limit`` makes it a report of so many rows."""
+    counted = flows.groupBy(field).agg(F.count(F.lit(1)).alias("flows")).orderBy(F.desc("flows"), field)
+    return counted if limit is None else counted.limit(limit)
 
 
 def field_summary(flows: DataFrame, field: str, *by: str) -> DataFrame:

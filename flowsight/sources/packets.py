@@ -226,21 +226,28 @@ def _decode(frame: memoryview, link: int) -> tuple | None:
     return source, target, *ports, proto, ip_len, header, total, body[13], window
 
 
-def _frames(content: bytes) -> Iterator[tuple[int, memoryview, int]]:
-    """(microseconds, frame, link type) for each complete record of a classic capture file."""
-    magic = _MAGICS.get(content[:4])
+def _frames(content: bytes) -> Iterator[tuple[int | None, memoryview, int]]:
+    """(microseconds, frame, link type) of every record of a classic capture file.
+
+    What cannot be read is one record without a frame: a file of another format, and a last record that is cut short
+    (with its time if its own header is whole).
+    """
+    magic, nothing = _MAGICS.get(content[:4]), memoryview(b"")
     if magic is None or len(content) < 24:
+        yield None, nothing, _ETHERNET
         return
     order, ticks = magic
     link = struct.unpack(order + "I", content[20:24])[0] & 0xFFFF
     record = struct.Struct(order + "IIII")
     view, at = memoryview(content), 24
-    while at + 16 <= len(content):
+    while at < len(content):
+        if at + 16 > len(content):
+            yield None, nothing, link
+            return
         seconds, fraction, kept, _ = record.unpack_from(content, at)
         at += 16
-        if at + kept > len(content):
-            return
-        yield seconds * 1_000_000 + fraction // ticks, view[at : at + kept], link
+        whole = at + kept <= len(content)
+        yield seconds * 1_000_000 + fraction // ticks, view[at : at + kept] if whole else nothing, link
         at += kept
 
 
@@ -250,7 +257,8 @@ def packets_from_files(
     """Capture files -> packets (plus ``path``), one task per file, rows emitted in batches.
 
     Frames that are not IPv4 TCP/UDP/ICMP, or are cut short, come out with null addresses so that
-    ``flow_diagnostics`` can count them; assembly drops them.
+    ``flow_diagnostics`` can count them; assembly drops them. So do a record that the file's end cuts and a file that
+    is no capture file, one row each.
     """
     files = (
         spark.read.format("binaryFile")

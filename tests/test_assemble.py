@@ -144,6 +144,21 @@ def test_one_key_with_most_rows_is_cut_into_blocks(spark):
     same_flows(assemble_flows(frame(spark, p), hot_rows=500), simulate(p))
 
 
+@pytest.mark.parametrize("times", [1, 3])
+def test_packets_of_one_time_are_cut_into_blocks(spark, times):
+    from pyspark.sql import functions as F
+
+    from flowsight.operators.assemble import KEY, _block
+
+    ends = {1999: FIN, 700: FIN}
+    p = [packet(i * times // 2000, flags=ends.get(i, ACK)) if i % 3 else reply(i * times // 2000) for i in range(2000)]
+    keyed = keyed_packets(frame(spark, p), ())
+    hot = find_hot_keys(keyed, KEY, 200)
+    blocks = keyed.join(F.broadcast(hot.table(keyed)), KEY).groupBy(_block().alias("b")).count().collect()
+    assert len(blocks) == 10 and max(r["count"] for r in blocks) <= 201
+    same_flows(assemble_flows(frame(spark, p), hot_rows=200), simulate(p))
+
+
 def test_scope_keeps_sessions_apart(spark):
     from pyspark.sql import functions as F
 

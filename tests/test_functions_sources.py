@@ -7,7 +7,7 @@ from tests.helpers import ACK, frame, packet
 from flowsight.functions import names as N
 from flowsight.functions import scalar as S
 from flowsight.operators import prepare as P
-from flowsight.operators.assemble import assemble_flows
+from flowsight.operators.assemble import assemble_flows, flow_diagnostics
 from flowsight.operators.scoring import interpret, normalise, normalise_vector, score_with_model
 from flowsight.plans.training import build_training_set
 from flowsight.sources.feeds import norm_lists, read_feeds, read_norm
@@ -171,8 +171,13 @@ def test_capture_files(spark, tmp_path):
     (tmp_path / "c.pcap").write_bytes(b"not a capture")
     p = packets_from_files(spark, str(tmp_path))
     rows = p.orderBy("ts_us").collect()
-    assert [r.src_ip for r in rows] == ["10.0.0.1", "10.0.0.1", None, None]
-    r = rows[1]
+    # a file that is no capture and the record that its file cuts are one row each, without addresses
+    assert [(r.ts_us, r.src_ip) for r in rows] == [
+        (None, None), (1_000_000, "10.0.0.1"), (2_000_000, "10.0.0.1"), (3_000_000, None), (4_000_000, None), (5_000_000, None),
+    ]
+    counted = {r.counter: r.value for r in flow_diagnostics(assemble_flows(p, scope=["path"]), p).collect()}
+    assert (counted["packets_received"], counted["packets_parsed"], counted["packets_skipped"]) == (6, 2, 4)
+    r = rows[2]
     assert (r.src_port, r.dst_port, r.protocol, r.total_len, r.tcp_flags, r.tcp_window, r.transport_header_len) == (1000, 80, 6, 50, 18, 512, 20)
     assert assemble_flows(p, scope=["path"]).first().fwd_packets == 2
 

@@ -32,7 +32,7 @@ _ONE = np.uint64(1)
 _SIDES = [np.array(c) for c in combinations(range(8), 4)]
 
 
-def _fingerprints(slab: T.Slab) -> np.ndarray:
+def _fingerprints(slab: T.Slab, size: int = SHINGLE) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
     slab.split()
@@ -45,10 +45,10 @@ def _fingerprints(slab: T.Slab) -> np.ndarray:
     buffer, stops = joined.tobytes(), at + lengths
 
     words = np.diff(slab.first)
-    counts = np.where(words >= SHINGLE, words - SHINGLE + 1, np.minimum(words, 1))
+    counts = np.where(words >= size, words - size + 1, np.minimum(words, 1))
     offsets = np.concatenate([[0], np.cumsum(counts)])
     heads = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - slab.first[:-1], counts)
-    tails = heads + np.repeat(np.minimum(words, SHINGLE) - 1, counts)
+    tails = heads + np.repeat(np.minimum(words, size) - 1, counts)
     spans = zip(at[heads].tolist(), stops[tails].tolist(), strict=True)
     hashes = np.fromiter((xxh64_intdigest(buffer[s:e], SEED) for s, e in spans), np.uint64, len(heads))
     out = np.zeros(len(slab), np.uint64)
@@ -58,12 +58,12 @@ def _fingerprints(slab: T.Slab) -> np.ndarray:
     return out.view(np.int64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint) of every row; the fingerprint is a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """(doc_id, fingerprint over shingles of ``size`` words) of every row; the fingerprint is a signed long."""
 
     def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for at, to, slab in T.slabs(batch.column(1)):
-            columns = [batch.column(0).slice(at, to - at), pa.array(_fingerprints(slab))]
+            columns = [batch.column(0).slice(at, to - at), pa.array(_fingerprints(slab, size))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fingerprint"])
 
     return T.map_batches(T.id_and_text(docs, id_col, text_col), make, "doc_id long, fingerprint long")
@@ -131,19 +131,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.selectExpr("doc_id", "lpad(lower(hex(fingerprint)), 16, '0') as fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component: that of the least id, null ids last; of equal ids, any one row."""
+def one_of_each(docs: DataFrame, group, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of ``group(rows(n, text), folder) -> (n, component_id)``: that of the least id, null ids
+    last; of equal ids, any one row."""
     spark, folder = docs.sparkSession, scratch_folder(docs.sparkSession)
     # ids may be null or repeated, so rows are told apart by a number that is written once
     docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("n")).write.parquet(f"{folder}/rows")
     rows = spark.read.parquet(f"{folder}/rows")
     own, body = F.col(f"row.`{id_col}`").cast("long"), F.col(f"row.`{text_col}`")
-    fingerprints(rows.select("n", body.alias("text")), "n").write.parquet(f"{folder}/prints")
-    found = components(spark.read.parquet(f"{folder}/prints")).selectExpr("doc_id as n", "component_id")
+    found = group(rows.select("n", body.alias("text")), folder)
     places = found.join(rows.select("n", own.alias("id")), "n")
     stays = places.groupBy("component_id").agg(F.min(F.struct(F.expr("id is null as absent"), "id", "n")).alias("least"))
     return rows.join(stays.selectExpr("least.n as n"), "n", "left_semi").select("row.*")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of fingerprints, chosen as in ``one_of_each``."""
+
+    def group(rows: DataFrame, folder: str) -> DataFrame:
+        fingerprints(rows, "n").write.parquet(f"{folder}/prints")
+        found = components(rows.sparkSession.read.parquet(f"{folder}/prints"))
+        return found.selectExpr("doc_id as n", "component_id")
+
+    return one_of_each(docs, group, id_col, text_col)
+
+
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -32,7 +32,8 @@ _ONE = np.uint64(1)
 _SIDES = [np.array(c) for c in combinations(range(8), 4)]
 
 
-def _fingerprints(slab: T.Slab, size: int = SHINGLE) -> np.ndarray:
+def shingle_hashes(slab: T.Slab, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of a slab, and how many each text has."""
     from xxhash import xxh64_intdigest
 
     slab.split()
@@ -50,20 +51,25 @@ def _fingerprints(slab: T.Slab, size: int = SHINGLE) -> np.ndarray:
     heads = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - slab.first[:-1], counts)
     tails = heads + np.repeat(np.minimum(words, size) - 1, counts)
     spans = zip(at[heads].tolist(), stops[tails].tolist(), strict=True)
-    hashes = np.fromiter((xxh64_intdigest(buffer[s:e], SEED) for s, e in spans), np.uint64, len(heads))
-    out = np.zeros(len(slab), np.uint64)
+    return np.fromiter((xxh64_intdigest(buffer[s:e], SEED) for s, e in spans), np.uint64, len(heads)), counts
+
+
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The fingerprint of every text: bits set in over half of its hashes."""
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    out = np.zeros(len(counts), np.uint64)
     for bit in range(64):
         ones = T.counts_per_text(offsets, (hashes >> np.uint64(bit)) & _ONE)
         out |= (2 * ones > counts).astype(np.uint64) << np.uint64(bit)
     return out.view(np.int64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fingerprint over shingles of ``size`` words) of every row; the fingerprint is a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fingerprint) of every row; the fingerprint is a signed long."""
 
     def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for at, to, slab in T.slabs(batch.column(1)):
-            columns = [batch.column(0).slice(at, to - at), pa.array(_fingerprints(slab, size))]
+            columns = [batch.column(0).slice(at, to - at), pa.array(majority(*shingle_hashes(slab, SHINGLE)))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fingerprint"])
 
     return T.map_batches(T.id_and_text(docs, id_col, text_col), make, "doc_id long, fingerprint long")

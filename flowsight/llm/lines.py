@@ -54,9 +54,16 @@ def _word_counts(rows: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["word", "n"])
 
-    sums = rows.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() for c in ("word", "n")]
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], ["word", "n"])
+
+    sums = rows.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     out = np.zeros(COUNTERS, np.int64)
-    out[sums["word"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
+    # some rows of bytes, not a row of objects for every counter
+    for part in sums.mapInArrow(packed, "word binary, n binary").collect():
+        out[np.frombuffer(part["word"], np.int64)] = np.frombuffer(part["n"], np.int64)
     return out
 
 

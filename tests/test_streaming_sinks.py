@@ -277,3 +277,22 @@ def test_fan_out_reaches_every_sink(spark, tmp_path):
     stream = spark.readStream.schema(PACKET_SCHEMA).parquet(str(tmp_path / "in"))
     fan_out(stream, [sink("a"), sink("b")], str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert seen == {"a": 7, "b": 7}
+
+
+def test_a_slice_of_many_files_is_one_batch(spark, tmp_path):
+    """Rows of one slice lie in several files in no order: none is late, and the files do not multiply the batches."""
+    from flowsight.plans.queries import QUERIES
+
+    events = spark.range(600).selectExpr(
+        "id as event_id", "timestamp_micros(1704067200000000 + (id * 7919 % 600) * 4300000000) as ts", "id % 3 as user_id",
+        "if(id % 2 = 0, 'view', 'click') as event_type", "cast(id % 90 as double) as value",
+        "concat('{\"k\": ', id % 50, '}') as props",
+    )
+    events.repartition(6).write.parquet(f"{tmp_path}/events.parquet")
+    counters = {r.name: r.total for r in QUERIES["streamed_counters"](spark, str(tmp_path)).collect()}
+    assert counters["packets"] == 600 and counters["missing"] == 0
+    got = QUERIES["streamed_flow_metadata"](spark, str(tmp_path))
+    want = QUERIES["flow_metadata"](spark, str(tmp_path)).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    # six slices, the last move of the watermark and the flush
+    assert len({f.rsplit("batch=", 1)[1].split("/")[0] for f in got.inputFiles()}) <= 8

@@ -247,3 +247,20 @@ def test_duration_split_does_not_depend_on_batches():
         assert list(none.itertuples(index=False, name=None)) == plain()
     marks = reached(np.array([True, False, False, False, False]), np.array([2, 2, 4, 5, 5]))
     assert marks.tolist() == [True, False, True, False, True]
+
+
+def test_long_lists_of_cuts_are_searched(spark):
+    """Over 64 blocks of a key, with packets of one time and two hot keys: searched blocks equal the listed ones."""
+    from flowsight.operators.assemble import KEY, LISTED_CUTS, _block
+
+    ends = {1999: FIN, 700: FIN}
+    p = [packet(i // 40, flags=ends.get(i, ACK), sport=1000 + i % 7 // 4) for i in range(4000)]
+    keyed = keyed_packets(frame(spark, p), ())
+    hot = find_hot_keys(keyed, KEY, 20)
+    assert len(hot.rows) == 2 and min(len(r[-1]) for r in hot.rows) > LISTED_CUTS
+    searched = hot.with_block(keyed)
+    assert "ArrowEvalPython" in searched._jdf.queryExecution().executedPlan().toString()
+    listed = keyed.join(hot.table(keyed), KEY).withColumn("block", _block())
+    rows = lambda df: sorted(map(tuple, df.select("pkt_id", "block").collect()))
+    assert rows(searched) == rows(listed) and len({r[1] for r in rows(listed)}) > LISTED_CUTS
+    same_flows(assemble_flows(frame(spark, p), hot_rows=20), simulate(p))

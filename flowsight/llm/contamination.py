@@ -20,7 +20,6 @@ WINDOW = 10
 GRAM = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-_WORD = r"[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
 def _words(text: str) -> str:
@@ -87,7 +86,8 @@ def contaminated(
 
     # hits of fingerprints, each extended to the windows around it
     wanted = _fingerprints(tests.filter(f"size(words) >= {WINDOW}"), ["item_id"]).select("gram").distinct()
-    hits = _fingerprints(words.filter(f"size(words) >= {WINDOW}"), ["doc_id", "text_hash"])
+    # texts of fewer words have no fingerprint; a filter on the size would be moved to the scan and split every text twice
+    hits = _fingerprints(words, ["doc_id", "text_hash"])
     hits = hits.join(broadcast_if_small(wanted), "gram", "left_semi")
     starts = f"explode_outer(sequence(begin, least(pos, n - {WINDOW}))) as start"
     found = hits.selectExpr("doc_id", "text_hash", "around", "begin", starts).selectExpr(
@@ -118,7 +118,7 @@ def contaminated(
     held = held.join(broadcast_if_small(windows.select("span", "item_id")), "span")
     held = held.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
 
-    counted = rows.selectExpr("doc_id", "text_hash", f"cast(coalesce(regexp_count(text, '{_WORD}'), 0) as bigint) as n_words")
+    counted = words.selectExpr("doc_id", "text_hash", "cast(greatest(coalesce(size(words), 0), 0) as bigint) as n_words")
     same = lambda right: F.expr(f"d.doc_id <=> {right}.doc_id and d.text_hash = {right}.text_hash")
     return (
         counted.alias("d")

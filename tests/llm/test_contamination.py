@@ -37,3 +37,24 @@ def test_against_brute_force(spark):
     assert Counter(map(tuple, contaminated(d, i).collect())) == want
     assert contaminated(d.limit(0), i).count() == 0
     assert {r.n_hit for r in contaminated(d, i.limit(0)).collect()} == {0}
+
+
+def test_texts_are_not_matched_word_by_word(spark):
+    from flowsight.llm.contamination import contaminated
+
+    texts = [None, "", " \t", "one", "ÄB-cd_9\x7fÉ", "\x00a\x00", "a b c d e f g h i", "x" * 300 + "\n" + "Y" * 300, "\U0001f600 end."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(12)))], "item_id long, text string")
+    found = contaminated(docs, items)
+    # a search with a negated class took more time than all the rest
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert {r.doc_id: r.n_words for r in found.collect()} == {i: len(words(t)) for i, t in enumerate(texts)}
+
+
+def test_texts_at_the_edge_of_a_window(spark):
+    from flowsight.llm.contamination import contaminated
+
+    long = [f"w{i}" for i in range(14)]
+    docs = spark.createDataFrame([(n, " ".join(long[:n])) for n in range(4, 15)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(long))], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in contaminated(docs, items).collect()} == {n: n if n >= 10 else 0 for n in range(4, 15)}

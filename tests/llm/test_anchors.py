@@ -50,3 +50,56 @@ def test_hits_across_batches():
             ids = np.arange(at, at + len(h))
             batches.append(pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids), pa.array(p)], ["hash", "r", "at"]))
         assert sorted(x for b in _hits(iter(batches)) for x in b.column(0).to_pylist()) == want
+
+
+def test_packed_blocks_meet():
+    import numpy as np
+    import pyarrow as pa
+
+    from flowsight.llm import anchors
+
+    r = random.Random(4)
+    texts = [" ".join(r.choices("abcdefghijklmnopqrst", k=r.choice([0, 5, 30, 200]))) for _ in range(40)]
+    passage = " ".join(f"w{i}" for i in range(40))
+    texts += [f"{passage} x{i} y z {passage}" for i in range(30)] + ["x y " * 60]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts)) * 7), pa.array(texts)], ["r", "text"])
+    where, index, want = {}, set(), set()
+    for t, text in enumerate(texts):
+        words = text.split()
+        for i in range(len(words) - 9):
+            block = tuple(words[i : i + 10])
+            where.setdefault(block, []).append((7 * t, i))
+            index |= {block} if i % 10 == 0 else set()
+    for block, places in where.items():
+        want |= set(places) if block in index and len(places) > 1 else set()
+    with np.errstate(over="ignore"):
+        probes = [p for at in range(0, len(texts), 9) for p in anchors._probes(batch.slice(at, 9))]
+    # a row for each bucket of a slab, not one for each block
+    assert sum(p.num_rows for p in probes) < sum(len(x) for x in where.values()) * 0.9
+    table = pa.Table.from_batches(probes)
+    table = table.take(np.argsort(table.column("bucket").to_numpy(), kind="stable"))
+    for size in (1, 3, 1000):
+        found = pa.Table.from_batches(list(anchors._meet(iter(table.combine_chunks().to_batches(max_chunksize=size)))))
+        slabs = {}
+        for row in found.to_pylist():
+            places, texts_of = slabs.setdefault(row["slab"], ([], []))
+            places += row["places"] or []
+            texts_of += [row["rows"], row["first"]] if row["rows"] else []
+        lists = [[x[0] for x in slabs.values()], *([x[1][i] for x in slabs.values()] for i in range(2))]
+        kinds = [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        hits = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(lists, kinds, strict=True)], ["places", "rows", "first"])
+        got = [(row["r"], p) for b in anchors._places(hits) for row in b.to_pylist() for p in row["places"]]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_texts_are_shuffled_once(spark):
+    from flowsight.llm.anchors import remove_repeats
+
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(3, text), (3, text), (None, text), (None, text), (2, "x " + text), (None, "y " + text), (5, "z")] + [(9, text)] * 5
+    found = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, found.collect()), key=str) == brute(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    lines = [x for x in final.split("\n") if re.search(r"Exchange hashpartitioning\(r#\d+L, \d+\), REPARTITION_BY_COL", x)]
+    assert sorted("ReusedExchange" in x for x in lines) == [False, True, True]

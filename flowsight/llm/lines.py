@@ -141,10 +141,13 @@ def _all_links(table: dict, at: int, to: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(later), np.concatenate(earlier)
 
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _alike(pairs: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
     """Sets of ``pairs(later, earlier)`` whose words are alike."""
-    words = sets.select("set_id", "words")
-    both = pairs.where("later <> earlier").distinct()
+    pairs.where("later <> earlier").distinct().write.parquet(folder)
+    both = sets.sparkSession.read.parquet(folder)
+    # most sets are in no pair: their words stay where they are
+    paired = both.selectExpr("later as set_id").union(both.selectExpr("earlier as set_id")).distinct()
+    words = sets.select("set_id", "words").join(broadcast_if_small(paired), "set_id", "left_semi")
     both = both.join(words.select(F.col("set_id").alias("later"), F.col("words").alias("x")), "later")
     both = both.join(words.select(F.col("set_id").alias("earlier"), F.col("words").alias("y")), "earlier")
     return both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select(F.col("later").alias("set_id")).distinct()
@@ -167,11 +170,11 @@ def _kept_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) ->
     heads = split_hot(heads, "word", "set_id", WORD_ROWS)
     pair, keys = "later long, earlier long", ["word", "a", "b"]
     order = [*ORDER, "set_id"]
-    _alike(map_runs(heads, keys, order, _first_links, pair), sets).write.parquet(f"{folder}/first")
+    _alike(map_runs(heads, keys, order, _first_links, pair), sets, f"{folder}/first-pairs").write.parquet(f"{folder}/first")
     settled = spark.read.parquet(f"{folder}/first")
     marked = heads.join(broadcast_if_small(settled.withColumn("settled", F.lit(True))), "set_id", "left")
     marked = marked.withColumn("settled", F.coalesce("settled", F.lit(False)))
-    _alike(map_runs(marked, keys, order, _all_links, pair), sets).write.parquet(f"{folder}/rest")
+    _alike(map_runs(marked, keys, order, _all_links, pair), sets, f"{folder}/rest-pairs").write.parquet(f"{folder}/rest")
     gone = settled.union(spark.read.parquet(f"{folder}/rest"))
     kept = sets.select("set_id", *ORDER).join(gone, "set_id", "left_anti")
     return kept.groupBy("doc_id", "k").agg(F.collect_list("line").alias("kept"))

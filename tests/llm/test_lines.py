@@ -57,3 +57,15 @@ def test_against_brute_force(spark, monkeypatch, limit):
     assert {r.doc_id for r in left.collect()} == {
         d for (d, t), new in want.items() if new == t or re.search(r"[^\x20\x09-\x0D]", new or "")
     }
+
+
+def test_only_words_of_paired_sets_are_joined(spark, tmp_path):
+    from flowsight.llm.lines import _alike
+
+    sets = [(1, list(range(10))), (2, list(range(1, 11))), (3, list(range(5, 15))), (4, [77]), (5, [77, 78])]
+    sets = spark.createDataFrame(sets, "set_id long, words array<long>")
+    pairs = spark.createDataFrame([(2, 1), (2, 1), (3, 1), (3, 2), (1, 1)], "later long, earlier long")
+    found = _alike(pairs, sets, f"{tmp_path}/pairs")
+    assert [r.set_id for r in found.collect()] == [2]
+    assert spark.read.parquet(f"{tmp_path}/pairs").count() == 3
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") == 2

@@ -28,6 +28,8 @@ SCHEMA = (
 NUMBERS = 1 << 40
 # open windows that a task holds at most, 4 KB each
 OPEN = 4096
+# texts encoded at once: the encoder's arrays take about 100 times as much
+BYTES = 400_000
 
 
 class Levels:
@@ -177,7 +179,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
         for batch in batches:
             docs_here = batch.column(0).to_pylist()
-            for at, to, slab in T.slabs(batch.column(1)):
+            for at, to, slab in T.slabs(batch.column(1), BYTES):
                 ids, first = tokens.encode(slab.data, slab.offsets)
                 for doc, a, b in zip(docs_here[at:to], first[:-1].tolist(), first[1:].tolist(), strict=True):
                     add(doc, np.append(ids[a:b], np.uint32(END_ID)).astype("<u4"))

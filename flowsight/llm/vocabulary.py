@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 
@@ -65,7 +65,8 @@ class UnitEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        # hashes in order and the unit of each: 16 bytes a unit, a tenth of a dict of int objects
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.hashes, self.seen = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.raw = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
         self.id_at, self.raw_at = np.zeros(1, np.int64), np.zeros(1, np.int64)
@@ -82,7 +83,8 @@ class UnitEncoder:
         self.raw, self.ids = self.raw[gather(self.raw_at[keep], lengths)], self.ids[gather(self.id_at[keep], counts)]
         self.raw_at, self.id_at = np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([[0], np.cumsum(counts)])
         self.hashes, self.seen = self.hashes[keep], self.seen[keep] >> 1
-        self.slot = dict(zip(self.hashes.tolist(), range(len(keep)), strict=True))
+        self.slot = np.argsort(self.hashes)
+        self.known = self.hashes[self.slot]
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -153,12 +155,19 @@ class UnitEncoder:
         some, first, inverse, met = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         if len(self.slot) + len(some) > UNITS or len(self.raw) > UNIT_BYTES:
             self._trim()
-        slots = np.fromiter(map(self.slot.get, some.tolist(), repeat(-1)), np.int64, len(some))
+        slots = np.full(len(some), -1)
+        place = np.searchsorted(self.known, some)
+        held = np.flatnonzero(place < len(self.known))
+        held = held[self.known[place[held]] == some[held]]
+        slots[held] = self.slot[place[held]]
         new = np.flatnonzero(slots < 0)
         if len(new):
             slots[new] = len(self.slot) + np.arange(len(new))
             at = first[new]
             self._learn(data, starts[at], ends[at], some[new], words[at])
+            # ``some`` is in order, so the new hashes go in between the known ones
+            self.known = np.insert(self.known, place[new], some[new])
+            self.slot = np.insert(self.slot, place[new], slots[new])
         self.seen[slots] += met
         unit = slots[inverse]
         lengths = ends - starts
@@ -173,7 +182,6 @@ class UnitEncoder:
     def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, words: np.ndarray) -> None:
         body = data.tobytes()
         flat, counts = self._ids([body[s:e].decode() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], words)
-        self.slot.update(zip(hashes.tolist(), range(len(self.slot), len(self.slot) + len(hashes)), strict=True))
         self.hashes = np.concatenate([self.hashes, hashes])
         self.seen = np.concatenate([self.seen, np.zeros(len(hashes), np.int64)])
         self.ids = np.concatenate([self.ids, flat])

@@ -156,3 +156,52 @@ def test_keep_good_keeps_columns(spark):
     out = keep_good(table(spark))
     assert out.columns == ["doc_id", "text", "n_words"]
     assert [(r.doc_id, len(r.text)) for r in out.collect()] == [(8, len(CASES[7][1]))]
+
+
+def test_known_units_take_few_bytes():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from flowsight.llm import text as T
+    from flowsight.llm import vocabulary
+
+    def learn(some):
+        for _, _, slab in T.slabs(pa.array([" ".join(words[i : i + 2_000]) for i in range(0, some, 2_000)]), 50_000):
+            units.encode(slab.data, slab.offsets)
+
+    words = [f"w{i * 7_919 % 100_003}" for i in range(40_000)]
+    units = vocabulary.UnitEncoder(vocabulary.default_path())
+    learn(8_000)
+    units._forget()
+    tracemalloc.start()
+    try:
+        learn(40_000)
+        held, _ = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    # a dict of int objects took some 180 bytes a unit, and Python workers of the pipeline went over their memory
+    assert len(units.slot) >= 40_000 and held < 110 * 40_000
+    known = units.hashes[units.slot]
+    assert (known[1:] > known[:-1]).all() and (units.known == known).all()
+
+
+def test_packing_encodes_small_slabs(monkeypatch):
+    import pyarrow as pa
+
+    from flowsight.llm import packing
+    from flowsight.llm import text as T
+
+    seen = []
+    monkeypatch.setattr(packing, "unit_encoder", lambda path: type("E", (), {"encode": lambda self, data, offsets: (seen.append(len(data)), (np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)))[1]})())
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("C", (), {"partitionId": lambda self: 0})())
+            batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(["x" * 10_000] * 300)], ["doc_id", "text"])
+            return sum(b.num_rows for b in run(iter([batch])))
+
+    monkeypatch.setattr(T, "id_and_text", lambda *_: Rows())
+    # one end id for each text, and powers of two split none of them
+    assert packing.pack(None, path="none") == 300
+    assert sum(seen) == 3_000_000 and max(seen) <= 400_000

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from flowsight.llm import text as T
 from flowsight.llm.runs import map_runs, split_hot
-from flowsight.session import broadcast_if_small, scratch_folder
+from flowsight.session import broadcast_if_small, scratch_folder, shuffles_dropped
 
 MIN_WORDS = 1
 # sets of fewer words are alike only if equal
@@ -111,33 +111,40 @@ def line_sets(rows: DataFrame, counts, min_words: int = MIN_WORDS) -> DataFrame:
     return T.map_batches(rows, make, _KEYED + "line long, set_id long, bits long, words array<long>")
 
 
-def _room(table: dict, one, many: slice) -> np.ndarray:
-    """Whether lengths and positions of the shared word leave room for Jaccard 0.8."""
-    n, m = table["n"][one], table["n"][many]
-    i, j = table["pos"][one], table["pos"][many]
-    most = np.minimum(i, j) + 1 + np.minimum(n - i, m - j) - 1
+def _room(table: dict, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which pairs of rows have lengths and positions of the shared word that leave room for Jaccard 0.8."""
+    n, m = table["n"][one], table["n"][other]
+    left = np.flatnonzero((5 * n >= 4 * m) & (5 * m >= 4 * n))
+    one, other, n, m = one[left], other[left], n[left], m[left]
+    i, j = table["pos"][one], table["pos"][other]
+    most = np.minimum(i, j) + np.minimum(n - i, m - j)
+    ok = 9 * most >= 4 * (n + m)
+    left, one, other, n, m = left[ok], one[ok], other[ok], n[ok], m[ok]
     # a bit of one set that the other lacks is a word that they do not share
-    x, y = table["bits"][one].view(np.uint64), table["bits"][many].view(np.uint64)
-    most = np.minimum(most, np.minimum(n - np.bitwise_count(x & ~y), m - np.bitwise_count(y & ~x)))
-    return (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * most >= 4 * (n + m))
+    x, y = table["bits"][one].view(np.uint64), table["bits"][other].view(np.uint64)
+    most = np.minimum(n - np.bitwise_count(x & ~y), m - np.bitwise_count(y & ~x))
+    return left[9 * most >= 4 * (n + m)]
 
 
-def _first_links(table: dict, at: int, to: int) -> tuple[np.ndarray, np.ndarray]:
-    ok = _room(table, at, slice(at + 1, to))
-    later = table["set_id"][at + 1 : to][ok]
-    return later, np.full(len(later), table["set_id"][at])
+def _first_links(table: dict, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    later = np.flatnonzero(place)
+    first = later - place[later]
+    ok = _room(table, first, later)
+    return table["set_id"][later[ok]], table["set_id"][first[ok]]
 
 
-def _all_links(table: dict, at: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+def _all_links(table: dict, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     later, earlier = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for one in range(at + 1, to):
-        if table["settled"][one]:
-            continue
-        # the first set of the run has been tried
-        ok = _room(table, one, slice(at, one))
-        found = table["set_id"][at:one][ok]
-        later.append(np.full(len(found), table["set_id"][one]))
-        earlier.append(found)
+    # the first set of each run has been tried
+    rows = np.flatnonzero((place > 0) & ~table["settled"][: len(place)])
+    lag = 1
+    while len(rows):
+        # each row with the one that stands ``lag`` before it in its run
+        ok = _room(table, rows, rows - lag)
+        later.append(table["set_id"][rows[ok]])
+        earlier.append(table["set_id"][rows[ok] - lag])
+        lag += 1
+        rows = rows[place[rows] >= lag]
     return np.concatenate(later), np.concatenate(earlier)
 
 
@@ -156,13 +163,19 @@ def _alike(pairs: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
 def _kept_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(doc_id, k, kept): the numbers of the compared lines that stay."""
     spark, folder = docs.sparkSession, scratch_folder(docs.sparkSession)
-    rows = _keyed(docs, id_col, text_col)
+    with shuffles_dropped(spark):
+        return _judged(_keyed(docs, id_col, text_col), folder, min_words)
+
+
+def _judged(rows: DataFrame, folder: str, min_words: int) -> DataFrame:
+    spark = rows.sparkSession
     counts = spark.sparkContext.broadcast(_word_counts(rows))
     # one row per distinct set, at its first line
     sets = line_sets(rows, counts, min_words).groupBy("set_id").agg(
         F.min(F.struct(*ORDER)).alias("at"), F.first("bits").alias("bits"), F.first("words").alias("words")
     )
-    sets.select("set_id", "at.*", "bits", "words").write.parquet(f"{folder}/sets")
+    # words come again and again, which the default codec does not find
+    sets.select("set_id", "at.*", "bits", "words").write.option("compression", "zstd").parquet(f"{folder}/sets")
     sets = spark.read.parquet(f"{folder}/sets")
 
     prefix = "slice(words, 1, size(words) - (4 * size(words) + 4) div 5 + 1)"
@@ -170,11 +183,11 @@ def _kept_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) ->
     heads = split_hot(heads, "word", "set_id", WORD_ROWS)
     pair, keys = "later long, earlier long", ["word", "a", "b"]
     order = [*ORDER, "set_id"]
-    _alike(map_runs(heads, keys, order, _first_links, pair), sets, f"{folder}/first-pairs").write.parquet(f"{folder}/first")
+    _alike(map_runs(heads, keys, order, _first_links, pair, together=True), sets, f"{folder}/first-pairs").write.parquet(f"{folder}/first")
     settled = spark.read.parquet(f"{folder}/first")
     marked = heads.join(broadcast_if_small(settled.withColumn("settled", F.lit(True))), "set_id", "left")
     marked = marked.withColumn("settled", F.coalesce("settled", F.lit(False)))
-    _alike(map_runs(marked, keys, order, _all_links, pair), sets, f"{folder}/rest-pairs").write.parquet(f"{folder}/rest")
+    _alike(map_runs(marked, keys, order, _all_links, pair, together=True), sets, f"{folder}/rest-pairs").write.parquet(f"{folder}/rest")
     gone = settled.union(spark.read.parquet(f"{folder}/rest"))
     kept = sets.select("set_id", *ORDER).join(gone, "set_id", "left_anti")
     return kept.groupBy("doc_id", "k").agg(F.collect_list("line").alias("kept"))

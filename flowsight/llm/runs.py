@@ -30,9 +30,12 @@ def split_hot(df: DataFrame, key: str, member: str, limit: int) -> DataFrame:
 
 
 def map_runs(
-    df: DataFrame, keys: list[str], order: list[str], find: Callable[[dict, int, int], tuple], schema: str
+    df: DataFrame, keys: list[str], order: list[str], find: Callable[..., tuple], schema: str, together: bool = False
 ) -> DataFrame:
-    """``find(columns, from, to)`` for every run of two or more rows of equal ``keys``, rows sorted by ``order``."""
+    """``find(columns, from, to)`` for every run of two or more rows of equal ``keys``, rows sorted by ``order``.
+
+    With ``together`` it is ``find(columns, place)`` for many whole runs at once; ``place`` is each row's number in its run.
+    """
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,8 +47,11 @@ def map_runs(
             for k in keys:
                 edge[1:stop] |= table[k][1:stop] != table[k][: stop - 1]
             at = np.flatnonzero(edge)
-            wide = np.flatnonzero(np.diff(at) > 1)
-            found = [find(table, int(at[i]), int(at[i + 1])) for i in wide]
+            if together:
+                found = [find(table, np.arange(stop) - np.repeat(at[:-1], np.diff(at)))]
+            else:
+                wide = np.flatnonzero(np.diff(at) > 1)
+                found = [find(table, int(at[i]), int(at[i + 1])) for i in wide]
             found = [f for f in found if len(f[0])]
             if found:
                 columns = [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]

@@ -69,3 +69,46 @@ def test_only_words_of_paired_sets_are_joined(spark, tmp_path):
     assert [r.set_id for r in found.collect()] == [2]
     assert spark.read.parquet(f"{tmp_path}/pairs").count() == 3
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") == 2
+
+
+def test_shuffles_go_with_their_step(spark):
+    from flowsight.llm.lines import _kept_lines
+
+    def files():
+        disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(name, None), files()
+    found = _kept_lines(spark.createDataFrame(rows(), "doc_id long, text string"), "doc_id", "text", 1)
+    # every step is written and read again, so nothing of a finished one is needed
+    assert not files() - before
+    assert spark.conf.get(name, None) == setting
+    assert found.count() > 50
+
+
+def test_links_of_many_runs_at_once():
+    import numpy as np
+
+    from flowsight.llm.lines import _all_links, _first_links, _room
+
+    r = np.random.default_rng(7)
+    runs = [1, 2, 1, 30, 5, 1, 70]
+    n = sum(runs)
+    table = {"set_id": np.arange(n) * 10, "n": r.integers(4, 12, n), "pos": r.integers(0, 3, n), "settled": r.random(n) < 0.3}
+    table["bits"] = (1 << r.integers(0, 12, n)) | 0xFF000
+    place = np.concatenate([np.arange(x) for x in runs])
+
+    def room(i, j):
+        a, b = (int(table["n"][x]) for x in (i, j))
+        p, q = (int(table["pos"][x]) for x in (i, j))
+        x, y = (int(table["bits"][k]) for k in (i, j))
+        most = min(min(p, q) + min(a - p, b - q), a - (x & ~y).bit_count(), b - (y & ~x).bit_count())
+        return 5 * a >= 4 * b and 5 * b >= 4 * a and 9 * most >= 4 * (a + b)
+
+    start = np.arange(n) - place
+    pairs = {(j, i) for j in range(n) for i in range(start[j], j) if room(i, j)}
+    got = lambda f: sorted((int(a) // 10, int(b) // 10) for a, b in zip(*f(table, place), strict=True))
+    assert got(_first_links) == sorted(p for p in pairs if p[1] == start[p[0]])
+    assert got(_all_links) == sorted(p for p in pairs if not table["settled"][p[0]])
+    assert len(pairs) > 100 and len(_room(table, np.zeros(0, int), np.zeros(0, int))) == 0

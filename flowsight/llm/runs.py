@@ -29,13 +29,22 @@ def split_hot(df: DataFrame, key: str, member: str, limit: int) -> DataFrame:
     return dealt.withColumn("a", least).withColumn("b", most).drop("parts", "part", "other")
 
 
-def map_runs(
-    df: DataFrame, keys: list[str], order: list[str], find: Callable[..., tuple], schema: str, together: bool = False
-) -> DataFrame:
-    """``find(columns, from, to)`` for every run of two or more rows of equal ``keys``, rows sorted by ``order``.
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of equal length as bytes. Bytes of one place stand together, so those that rows share take next to no room."""
+    planes = b"".join(c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns)
+    return len(columns[0]).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
 
-    With ``together`` it is ``find(columns, place)`` for many whole runs at once; ``place`` is each row's number in its run.
-    """
+
+def unpack(data: bytes, kinds: list[str]) -> list[np.ndarray]:
+    """The columns, of numpy types ``kinds``, that were packed."""
+    n, sizes = int.from_bytes(data[:8], "little"), [np.dtype(k).itemsize for k in kinds]
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[8:], n * sum(sizes)), np.uint8)
+    cuts = np.split(planes, np.cumsum(sizes)[:-1] * n)
+    return [np.ascontiguousarray(c.reshape(w, n).T).view(k).reshape(n) for c, k, w in zip(cuts, kinds, sizes, strict=True)]
+
+
+def map_runs(df: DataFrame, keys: list[str], order: list[str], find: Callable[..., tuple], schema: str) -> DataFrame:
+    """``find(columns, from, to)`` for every run of two or more rows of equal ``keys``, rows sorted by ``order``."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,11 +56,8 @@ def map_runs(
             for k in keys:
                 edge[1:stop] |= table[k][1:stop] != table[k][: stop - 1]
             at = np.flatnonzero(edge)
-            if together:
-                found = [find(table, np.arange(stop) - np.repeat(at[:-1], np.diff(at)))]
-            else:
-                wide = np.flatnonzero(np.diff(at) > 1)
-                found = [find(table, int(at[i]), int(at[i + 1])) for i in wide]
+            wide = np.flatnonzero(np.diff(at) > 1)
+            found = [find(table, int(at[i]), int(at[i + 1])) for i in wide]
             found = [f for f in found if len(f[0])]
             if found:
                 columns = [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]

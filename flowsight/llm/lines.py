@@ -24,7 +24,6 @@ from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,11 +36,13 @@ MIN_WORDS = 1
 # sets of fewer words are alike only if equal
 JOIN_WORDS = 4
 COUNTERS = 1 << 20
+# texts split at once: the arrays over them take about 50 times as much
+BYTES = 500_000
 # the counters travel in so many parts
 _PARTS = 16
 WORD_ROWS = 20_000
 # heads of one task: some where there are few, and so many that a task holds them easily; packed at once
-FEW_HEADS, TASK_HEADS, PACK_HEADS = 4_000, 400_000, 500_000
+FEW_HEADS, TASK_HEADS, PACK_HEADS = 4_000, 250_000, 500_000
 # sets whose texts are found by a broadcast
 WANTED_ROWS = 300_000
 ORDER = ["doc_id", "k", "line"]
@@ -67,10 +68,10 @@ def _word_ranks(rows: DataFrame) -> np.ndarray:
         total = np.zeros(COUNTERS, np.int64)
         with np.errstate(over="ignore"):
             for batch in batches:
-                for _, _, slab in T.slabs(batch.column(0)):
+                for _, _, slab in T.slabs(batch.column(0), BYTES):
                     slab.split()
                     hashes = T.span_hashes(T.byte_sums(slab.data), slab.starts, slab.ends)
-                    total += np.bincount((hashes % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+                    np.add.at(total, (hashes % np.uint64(COUNTERS)).astype(np.int64), 1)
         yield packed(total.reshape(_PARTS, -1))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +148,7 @@ def line_sets(rows: DataFrame, ranks, min_words: int = MIN_WORDS) -> DataFrame:
 
     def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, texts, ks = (batch.column(n) for n in ("doc_id", "text", "k"))
-        for at, _, slab in T.slabs(texts):
+        for at, _, slab in T.slabs(texts, BYTES):
             text, number, hashes, line = _line_sets(slab, ranks.value)
             sizes = np.bincount(line, minlength=len(text))
             use = sizes >= max(1, min_words)
@@ -343,7 +344,7 @@ def _words(rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
         lists = batch.column("wanted")
         offsets, values = lists.offsets.to_numpy(), lists.values
         numbers, ids = (values.field(c).to_numpy() for c in ("line", "id"))
-        for at, to, slab in T.slabs(batch.column("text")):
+        for at, to, slab in T.slabs(batch.column("text"), BYTES):
             text, _, hashes, line = _line_sets(slab)
             ends = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(text)))])
             here = slice(offsets[at], offsets[to])
@@ -414,33 +415,37 @@ def _judged(rows: DataFrame, folder: str, min_words: int) -> DataFrame:
     return kept.groupBy("doc_id", "k").agg(F.collect_list("line").alias("kept"))
 
 
-def _apply(texts: pd.Series, kept: pd.Series, min_words: int) -> pd.DataFrame:
+def _apply(texts: pa.Array, kept: pa.Array, min_words: int) -> pa.Array:
     out = []
-    for text, stay in zip(texts, kept, strict=True):
+    for text, stay in zip(texts.to_pylist(), kept.to_pylist(), strict=True):
         if text is None:
             out.append((None, 0, 0))
             continue
-        stay = set() if stay is None else set(stay.tolist())
+        stay = set(stay or ())
         lines = text.split("\n")
         left = [x for i, x in enumerate(lines) if i in stay or len({*_WORD.findall(x)}) < max(1, min_words)]
         out.append(("\n".join(left), len(lines), len(lines) - len(left)))
-    return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
+    columns = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
+    return pa.StructArray.from_arrays(columns, ["text", "n_lines", "n_removed"])
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` as a struct ``row`` with its new ``text``, ``n_lines`` and ``n_removed`` in a struct ``lines``."""
 
     def apply(texts, kept):
-        return _apply(texts, kept, min_words)
+        # some rows at a time become Python objects
+        return pa.concat_arrays([_apply(texts[i : i + 256], kept[i : i + 256], min_words) for i in range(0, max(1, len(texts)), 256)])
 
-    apply.__annotations__ = {"texts": pd.Series, "kept": pd.Series, "return": pd.DataFrame}
-    cut = F.pandas_udf(apply, "text string, n_lines long, n_removed long")
+    apply.__annotations__ = {"texts": pa.Array, "kept": pa.Array, "return": pa.Array}
+    # a filter on its result must not run it again, in two more workers of each task
+    cut = F.arrow_udf(apply, "text string, n_lines long, n_removed long").asNondeterministic()
     body, key = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")
-    rows = docs.select(F.struct("*").alias("row"), key.alias("doc_id"), F.xxhash64(body).alias("k"), body.alias("body"))
+    rows = docs.select(F.struct("*").alias("row"), key.alias("doc_id"), F.xxhash64(body).alias("k"))
     found = rows.alias("d").join(
         _kept_lines(docs, id_col, text_col, min_words).alias("s"), F.expr("d.doc_id <=> s.doc_id and d.k = s.k"), "left"
     )
-    return found.select("row", cut(F.col("body"), F.col("kept")).alias("lines"))
+    # the text that stands in the row is the only one that is shuffled
+    return found.select("row", cut(F.col(f"row.`{text_col}`").cast("string"), F.col("kept")).alias("lines"))
 
 
 def replace_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +21,8 @@ BASE_SHARE = 30
 # share of word characters that may lie in later copies of an n-gram of so many words
 NGRAM_LIMITS = {5: 0.30, 10: 0.25}
 LINE_LIMIT = 0.30
+# texts measured at once: the arrays over them take about 100 times as much
+BYTES = 500_000
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -77,7 +78,7 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def measure(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0)
-        for at, to, slab in T.slabs(batch.column(1)):
+        for at, to, slab in T.slabs(batch.column(1), BYTES):
             columns = [ids.slice(at, to - at), *(pa.array(c) for c in _measure(slab))]
             names = [c.split()[0] for c in SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays(columns, names)
@@ -87,12 +88,14 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns; each row is judged where it stands."""
-    def passes(texts: pd.Series) -> pd.Series:
+
+    def passes(texts):
         with np.errstate(over="ignore"):
-            return pd.Series(np.concatenate([_measure(s)[-1] for _, _, s in T.slabs(pa.array(texts, pa.string()))]))
+            return pa.array(np.concatenate([np.zeros(0, bool), *(_measure(s)[-1] for _, _, s in T.slabs(texts, BYTES))]))
 
-    passes.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return docs.where(F.pandas_udf(passes, "boolean")(F.col(f"`{text_col}`").cast("string")))
+    # Arrow columns as they are: pandas would make an object of every text of a batch
+    passes.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return docs.where(F.arrow_udf(passes, "boolean")(F.col(f"`{text_col}`").cast("string")))
 
 
 def op7_repetition(spark, sf_dir: str) -> DataFrame:

@@ -98,3 +98,22 @@ def test_packed_columns_come_back():
         assert all((x == c[part]).all() and x.dtype == c.dtype for x, c in zip(back, columns, strict=True))
     same = [np.full(1000, 7, np.uint64)]
     assert len(pack(same)) < 100
+
+
+def test_a_filter_on_the_result_does_not_cut_texts_again(spark):
+    from flowsight.llm.lines import replace_lines
+
+    docs = spark.createDataFrame([(1, "a b c d e\na b c d e"), (2, "a b c d e"), (3, None), (4, "")], "doc_id long, text string")
+    left = replace_lines(docs)
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(1, "a b c d e"), (3, None), (4, "")]
+
+
+def test_batches_of_no_rows_pass(spark):
+    from flowsight.llm.quality import keep_good
+
+    good = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, None), (2, good), (3, "w " * 50), (4, "")], "doc_id long, text string")
+    assert [r.doc_id for r in keep_good(docs).collect()] == [2]
+    assert keep_good(docs.limit(0)).count() == 0
